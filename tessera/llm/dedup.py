@@ -62,6 +62,7 @@ class ExactDedup:
         own, at = spark.newSession(), new_path(spark, "dedup-state")
         own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
         own.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+        own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # else 4 MB and more ahead for each of many small stores
         own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
         own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
         source = own.readStream.schema(self.arrivals.schema).option("maxBytesPerTrigger", str(self.bytes_per_trigger)).parquet(self.arrivals._settled_path)
