@@ -7,6 +7,7 @@ by a heap of candidate pairs over linked bytes. Results are remembered in bounde
 from __future__ import annotations
 
 import base64
+import gc
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from .common import id_text, map_arrow, slices, texts_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-PRETOKENS, CHUNKS = 200_000, 150_000  # entries of the caches in a worker
+PRETOKENS, CHUNKS = 400_000, 400_000  # entries of the caches in a worker
 GOLD = 0x9E3779B97F4A7C15
 
 
@@ -189,9 +190,10 @@ def encoder(path: str, pattern: str) -> BytePairEncoder:
 
 def _encode(path: str, pattern: str):
     def run(batches):
+        gc.disable()  # the caches are many small objects without cycles
         enc = encoder(path, pattern)
         for batch in batches:
-            for part in slices(batch, 2 << 20):
+            for part in slices(batch, 1 << 17):
                 ids = enc.encode_all(texts_of(part))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 

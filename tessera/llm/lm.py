@@ -28,7 +28,7 @@ HEAD = 1 << 17  # at most so many counted words are sent to the tasks
 END = b" "  # the end token; no word has a space
 STEPS, BATCH, NOISE, RATE, SEED = 400, 8192, 64, 0.02, 5
 FLUSH = 300_000
-PORTION = 1 << 20
+PORTION = 1 << 18
 
 
 def words_of(text: str) -> list[bytes]:
