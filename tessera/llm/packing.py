@@ -10,7 +10,10 @@ tokenising). No length class is gathered in one task.
 
 from __future__ import annotations
 
+import gc
+import re
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -24,12 +27,13 @@ from .common import id_text, map_arrow, settle, texts_of
 
 CAPACITY, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
-PUNCTUATION = b".,!?;:%$#*&"
-CORES, CHUNKS = 250_000, 150_000  # entries of the caches in a worker
+PUNCTUATION = ".,!?;:%$#*&"
+SPACES, CONTROLS = re.compile("[ \t\n\r\x0b\x0c]+"), re.compile("[\x1c-\x1f]")
+CORES, CHUNKS = 600_000, 500_000  # entries of the caches in a worker
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, remembered for each chunk between ASCII white space.
+    """Ids of whole texts by the tokenizers library, remembered for each chunk between white space.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are its chunks' ids in order. A chunk
     of letters with punctuation behind is encoded as both, since its pattern separates them; letters below U+0100
@@ -41,54 +45,86 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.chunks: dict[bytes, bytes] = {}
-
-    def _split(self, chunk: bytes) -> tuple[bytes, bytes]:
-        core = chunk.rstrip(PUNCTUATION)
-        if core.isalpha():
-            return core.lower(), chunk[len(core) :]
-        if core and not core.isascii():
-            text = core.decode("utf-8")
-            if text.isalpha() and max(text) < "Ā":
-                return text.lower().encode(), chunk[len(core) :]
-        return chunk, b""
-
-    def learn(self, texts: list[bytes]) -> None:
-        """Fill the caches with all chunks of the texts, in one call of the library."""
-        new = set()
-        for t in texts:
-            new.update(t.split())
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+
+    def _known(self, part: str) -> bytes | None:
+        if (ids := self.young.get(part)) is None and (ids := self.old.get(part)) is not None:
+            self.young[part] = ids
+        return ids
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember the ids of new chunks, with one call of the library for the parts never met."""
         if len(self.chunks) > CHUNKS:
             self.chunks.clear()
-        new.difference_update(self.chunks)
-        parts = {c: self._split(c) for c in new}
-        wanted = {p for pair in parts.values() for p in pair if p}
         if len(self.young) > CORES:
             self.old, self.young = self.young, {}
-        missing = []
-        for p in wanted:
-            if p not in self.young:
-                if (known := self.old.get(p)) is not None:
-                    self.young[p] = known
-                else:
-                    missing.append(p)
-        for p, e in zip(missing, self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in missing], add_special_tokens=False)):
-            self.young[p] = np.array(e.ids, "<u4").tobytes()
-        self.young[b""] = b""
-        for c, (core, tail) in parts.items():
-            self.chunks[c] = self.young[core] + self.young[tail]
-
-    def encode(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids of a text whose chunks were learnt."""
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        late, missing, chunks, known, young = [], set(), self.chunks, self._known, self.young.get
+        for chunk in new:
+            key = core = chunk.rstrip(PUNCTUATION)
+            if not core.isalpha():
+                key = core = chunk
+            elif core.isascii():
+                key = core.lower()
+            else:
+                try:
+                    core.encode("latin-1")
+                    key = core.lower()
+                except UnicodeEncodeError:
+                    key = core = chunk
+            front = young(key) or known(key)
+            if len(core) == len(chunk):
+                if front is not None:
+                    chunks[chunk] = front
+                    continue
+                tail, back = "", b""
+            else:
+                tail = chunk[len(core) :]
+                back = young(tail) or known(tail)
+                if front is not None and back is not None:
+                    chunks[chunk] = front + back
+                    continue
+            late.append((chunk, key, tail))
+            if front is None:
+                missing.add(key)
+            if back is None:
+                missing.add(tail)
+        names = list(missing)
+        for name, e in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False)):
+            self.young[name] = array("I", e.ids).tobytes()
+        for chunk, key, tail in late:
+            chunks[chunk] = known(key) + (known(tail) if tail else b"")
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text, looked up chunk by chunk.
+
+        str.split() also splits at 1C-1F, which the tokenizer does not drop; texts with those are split at spaces.
+        """
+        words = [[w for w in SPACES.split(t) if w] if CONTROLS.search(t) else t.split() for t in texts]
+        get = self.chunks.get
+        found = [list(map(get, ws)) for ws in words]
+        out: list[bytes | None] = []
+        gaps: dict[int, list[int]] = {}
+        for k, values in enumerate(found):
+            try:
+                out.append(b"".join(values))
+            except TypeError:
+                out.append(None)
+                gaps[k] = [i for i, v in enumerate(values) if v is None]
+        self._learn({words[k][i] for k, at in gaps.items() for i in at})
+        for k, at in gaps.items():
+            values, own = found[k], words[k]
+            for i in at:
+                values[i] = self.chunks[own[i]]
+            out[k] = b"".join(values)
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
-def _portions(texts: list[bytes], most: int = 1 << 20):
+def _portions(texts: list[str], most: int = 1 << 16):
     begin = used = 0
     for i, t in enumerate(texts):
         used += len(t)
@@ -105,15 +141,15 @@ def _pieces(path: str, capacity: int, end: int):
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
+        gc.disable()  # the caches are many small objects without cycles
         part, ranks = TaskContext.get().partitionId(), defaultdict(int)
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows, at = [], 0
             ids = batch.column(0).to_pylist()
-            for texts in _portions([t.encode("utf-8") for t in texts_of(batch)]):
-                encoder.learn(texts)
-                for text in texts:
-                    blob = encoder.encode(text) + last
+            for texts in _portions(texts_of(batch)):
+                for blob in encoder.encode_all(texts):
+                    blob += last
                     for k in range(0, len(blob), 4 * capacity):
                         piece = blob[k : k + 4 * capacity]
                         n = len(piece) // 4
