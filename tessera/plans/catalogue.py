@@ -1,4 +1,478 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, and their SQL.
+
+Bars stand in for prices: unit prices of line items by supplier and day. Documents stand in for news, monthly mean
+order totals for a macro series.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.config import merged
+from tessera.functions import text as T
+from tessera.operators import aggregate as A
+from tessera.operators import ml, quality, sentiment, split, tfidf
+from tessera.operators import panel as P
+from tessera.operators.asof import asof_backward, asof_forward_by, released
+from tessera.plans import features as X
+from tessera.streaming.bars import bars as event_bars
+
+CONFIG = merged({"dates": {"start": "1995-01-01", "end": "2001-12-31", "train_end": "1998-12-31", "validation_end": "1999-12-31", "test_end": "2001-12-31"}})
+POS, NEG = "the of", "and to"
+STOP = "the of and to"
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("S"), "l_suppkey").alias("ticker"), F.col("l_shipdate").cast("timestamp").alias("date"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), "l_quantity", F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("o"),
+    )
+    return li.groupBy("ticker", "date").agg(
+        F.min_by("p", "o").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o").alias("close"), F.sum("l_quantity").alias("volume")
+    )
+
+
+def news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents")
+    day = F.date_add(F.lit("1995-01-01").cast("date"), ((F.col("doc_id") * 37) % 2500).cast("int"))
+    return d.select(
+        "doc_id", F.concat(F.lit("S"), F.col("doc_id") % 100).alias("ticker"), day.cast("timestamp").alias("date"),
+        F.col("source").alias("title"), F.col("text").alias("article"), T.text_source(F.col("text")).alias("text_source"),
+    )
+
+
+def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    month = F.date_trunc("month", F.col("o_orderdate").cast("timestamp"))
+    m = _t(spark, sf_dir, "orders").groupBy(month.alias("date")).agg(F.avg("o_totalprice").alias("x"))
+    return m.select("date", F.when(F.month("date") % 4 != 0, F.col("x")).alias("total"))
+
+
+def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars(spark, sf_dir).withColumn("log_return", P.log_return(F.col("close")))
+
+
+# ---- SQL parts -------------------------------------------------------------------------------------------------
+
+BARS = """
+li AS (SELECT 'S' || l_suppkey AS ticker, l_shipdate AS date, l_extendedprice / l_quantity AS p, l_quantity,
+         l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS o FROM lineitem),
+bars AS (SELECT ticker, date, arg_min(p, o) AS open, max(p) AS high, min(p) AS low, arg_max(p, o) AS close, sum(l_quantity) AS volume
+         FROM li GROUP BY ticker, date)"""
+RET0 = """
+lagged AS (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS prev FROM bars),
+ret AS (SELECT *, CASE WHEN close / nullif(prev, 0) > 0 THEN ln(close / nullif(prev, 0)) END AS r FROM lagged)"""
+NEWS = """
+news AS (SELECT doc_id, 'S' || (doc_id % 100) AS ticker, CAST(DATE '1995-01-01' + CAST((doc_id * 37) % 2500 AS INTEGER) AS TIMESTAMP) AS date,
+         source AS title, text AS article FROM documents)"""
+MACRO = """
+macro0 AS (SELECT date_trunc('month', o_orderdate) AS date, avg(o_totalprice) AS x FROM orders GROUP BY 1),
+macro AS (SELECT CAST(date AS TIMESTAMP) AS date, CASE WHEN month(date) % 4 <> 0 THEN x END AS total FROM macro0)"""
+REL = """
+filled AS (SELECT date, last_value(total IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS total FROM macro),
+rel AS (SELECT date + INTERVAL 1 MONTH AS eff, arg_max(total, date) AS macro_total FROM filled GROUP BY 1)"""
+WHITE = r"[\s\x1c-\x1f]+"
+
+
+def _roll(fn: str, x: str, n: int, first: int | None = None, last: int = 0) -> str:
+    frame = f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW" if first is None else f"ROWS BETWEEN {first} FOLLOWING AND {last} FOLLOWING"
+    w = f"OVER (PARTITION BY ticker ORDER BY date {frame})"
+    return f"CASE WHEN count({x}) {w} >= {n} THEN {fn}({x}) {w} END"
+
+
+def _lag(x: str, k: int) -> str:
+    return f"lag({x}, {k}) OVER (PARTITION BY ticker ORDER BY date)"
+
+
+def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.withColumns({n: (F.round(n, places) + 0.0) for n, k in df.dtypes if k in ("double", "float")})
+
+
+def _days(df: DataFrame) -> DataFrame:
+    return df.withColumns({n: F.date_format(n, "yyyy-MM-dd") for n, k in df.dtypes if k.startswith("timestamp") or k == "date"})
+
+
+def _panel(df: DataFrame, columns: dict) -> DataFrame:
+    return _days(_rounded(df.select("ticker", "date", *[c.alias(n) for n, c in columns.items()])))
+
+
+def _sql(parts: str, columns: dict[str, str], source: str = "ret") -> str:
+    return f"WITH {parts} SELECT ticker, strftime(date, '%Y-%m-%d') AS date, " + ", ".join(f"round({x}, 6) + 0.0 AS {n}" for n, x in columns.items()) + f" FROM {source}"
+
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def _q(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- panel -----------------------------------------------------------------------------------------------------
+
+
+@_q(_sql(BARS + "," + RET0, {"log_return": "r"}))
+def log_return(spark, d):
+    return _panel(returns(spark, d), {"log_return": F.col("log_return")})
+
+
+@_q(_sql(BARS + "," + RET0, {f"realized_vol_{n}d": f"{_roll('stddev_samp', 'r', n)} * sqrt(252)" for n in (5, 10, 20)}))
+def realized_vol(spark, d):
+    return _panel(returns(spark, d), {f"realized_vol_{n}d": P.realized_vol(F.col("log_return"), n) for n in (5, 10, 20)})
+
+
+@_q(_sql(BARS + "," + RET0, {f"log_return_lag_{k}d": _lag("r", k) for k in (1, 2, 3, 5, 10)}))
+def lag_features(spark, d):
+    return _panel(returns(spark, d), P.lag_features(F.col("log_return"), (1, 2, 3, 5, 10)))
+
+
+@_q(_sql(BARS + "," + RET0, {f"rolling_{m}_{n}d": _roll(f, "r", n) for n in (5, 10, 20, 60) for m, f in (("mean", "avg"), ("std", "stddev_samp"))}))
+def rolling_moments(spark, d):
+    return _panel(returns(spark, d), P.rolling_moments(F.col("log_return"), (5, 10, 20, 60)))
+
+
+@_q(
+    "WITH " + BARS + "," + RET0 + f""", g AS (SELECT ticker, date, greatest(close - prev, 0) + 0 * prev AS gain, greatest(prev - close, 0) + 0 * prev AS loss FROM ret),
+    m AS (SELECT ticker, date, {_roll('avg', 'gain', 14)} AS u, {_roll('avg', 'loss', 14)} AS l FROM (SELECT ticker, date, CASE WHEN gain IS NOT NULL THEN gain END AS gain, loss FROM g))
+    SELECT ticker, strftime(date, '%Y-%m-%d') AS date, round(CASE WHEN u = 0 AND l = 0 THEN 50 WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + u / l) END, 6) AS rsi_14 FROM m"""
+)
+def rsi14(spark, d):
+    return _panel(P.with_rsi(bars(spark, d)), {"rsi_14": F.col("rsi_14")})
+
+
+@_q(
+    _sql(
+        BARS + f", bb AS (SELECT ticker, date, {_roll('avg', 'close', 20)} AS m, {_roll('stddev_samp', 'close', 20)} AS s FROM bars)",
+        {"bb_upper": "m + 2 * s", "bb_lower": "m - 2 * s", "bb_width": "4 * s / nullif(m, 0)"}, "bb",
+    )
+)
+def bollinger(spark, d):
+    return _panel(bars(spark, d), P.bollinger(F.col("close")))
+
+
+@_q(_sql(BARS + "," + RET0, {"target_realized_vol_5d": f"{_roll('stddev_samp', 'r', 5, 1, 5)} * sqrt(252)"}))
+def forward_vol_target(spark, d):
+    return _panel(returns(spark, d), {"target_realized_vol_5d": P.forward_vol(F.col("log_return"))})
+
+
+@_q(_sql(BARS + "," + RET0 + f", v AS (SELECT ticker, date, {_roll('stddev_samp', 'r', 5)} * sqrt(252) AS v FROM ret)", {"realized_vol_5d": _lag("v", 1)}, "v"))
+def min_lag(spark, d):
+    df = returns(spark, d).select("ticker", "date", P.realized_vol(F.col("log_return"), 5).alias("realized_vol_5d"))
+    return _panel(P.min_lag(df, 1, ("ticker", "date")), {"realized_vol_5d": F.col("realized_vol_5d")})
+
+
+@_q("WITH " + MACRO + "," + REL + " SELECT strftime(date, '%Y-%m-%d') AS date, round(total, 4) AS total FROM filled")
+def ffill_macro(spark, d):
+    return _days(_rounded(P.forward_fill(macro(spark, d), ["total"]), 4))
+
+
+@_q("WITH " + MACRO + "," + REL + " SELECT strftime(eff, '%Y-%m-%d') AS macro_effective_date, round(macro_total, 4) AS macro_total FROM rel")
+def month_release_lag(spark, d):
+    return _days(_rounded(released(macro(spark, d), ["total"]), 4))
+
+
+@_q("WITH " + BARS + "," + MACRO + "," + REL + " SELECT ticker, strftime(date, '%Y-%m-%d') AS date, round(macro_total, 4) AS macro_total FROM bars ASOF LEFT JOIN rel ON bars.date >= rel.eff")
+def asof_backward_macro(spark, d):
+    return _days(_rounded(asof_backward(bars(spark, d).select("ticker", "date"), released(macro(spark, d), ["total"]), "date", "macro_effective_date").drop("macro_effective_date"), 4))
+
+
+@_q("WITH " + BARS + "," + NEWS + " SELECT doc_id, strftime(trading, '%Y-%m-%d') AS trading_date FROM news ASOF LEFT JOIN (SELECT ticker, date AS trading FROM bars) b ON news.ticker = b.ticker AND news.date <= b.trading")
+def asof_forward_by_ticker(spark, d):
+    out = asof_forward_by(news(spark, d).select("doc_id", "ticker", "date"), bars(spark, d), "ticker", "date", "date", "trading_date")
+    return _days(out.select("doc_id", "trading_date"))
+
+
+
+
+@_q(
+    """SELECT CAST(o_custkey % 50 AS BIGINT) AS ticker, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS date,
+    round(sum(o_totalprice * w) / nullif(sum(w), 0), 6) AS m, CAST(sum(w) AS DOUBLE) AS news_count, count(*) AS source_rows
+    FROM (SELECT *, CAST(o_orderkey % 4 AS DOUBLE) AS w FROM orders) GROUP BY 1, 2"""
+)
+def weighted_daily_agg(spark, d):
+    o = _t(spark, d, "orders")
+    df = o.select((F.col("o_custkey") % 50).alias("ticker"), F.date_trunc("month", "o_orderdate").alias("date"), F.col("o_totalprice").alias("m"), (F.col("o_orderkey") % 4).alias("news_count"))
+    return _days(_rounded(A.weighted_daily(df, means=("m",)), 6))
+
+
+@_q("""WITH a AS (SELECT date_trunc('month', o_orderdate) AS date, max(o_totalprice) AS a FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+    b AS (SELECT date_trunc('month', l_shipdate) AS date, max(l_extendedprice) AS b FROM lineitem GROUP BY 1)
+    SELECT strftime(coalesce(a.date, b.date), '%Y-%m-%d') AS date, a, b FROM a FULL JOIN b ON a.date = b.date""")
+def outer_merge_series(spark, d):
+    a = _t(spark, d, "orders").where("o_orderstatus = 'F'").groupBy(F.date_trunc("month", "o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("a"))
+    b = _t(spark, d, "lineitem").groupBy(F.date_trunc("month", "l_shipdate").alias("date")).agg(F.max("l_extendedprice").alias("b"))
+    return _days(P.outer_merge([a, b]))
+
+
+@_q("SELECT doc_id, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic, quality IS NULL AS missed FROM documents LEFT JOIN labels USING (doc_id)")
+def left_join_fill(spark, d):
+    out = _t(spark, d, "documents").select("doc_id").join(_t(spark, d, "labels"), "doc_id", "left")
+    return out.select("doc_id", F.coalesce("quality", F.lit(0)).alias("quality"), F.coalesce("toxic", F.lit(0)).alias("toxic"), F.col("quality").isNull().alias("missed"))
+
+
+@_q("""SELECT CASE WHEN o_orderdate <= TIMESTAMP '1998-12-31' THEN 'train' WHEN o_orderdate <= TIMESTAMP '1999-12-31' THEN 'validation' ELSE 'test' END AS dataset_split,
+    count(*) AS n, strftime(min(o_orderdate), '%Y-%m-%d') AS lo, strftime(max(o_orderdate), '%Y-%m-%d') AS hi FROM orders GROUP BY 1""")
+def temporal_split(spark, d):
+    o = split.assign_temporal_split(_t(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp").alias("date")), CONFIG)
+    return _days(o.groupBy("dataset_split").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("lo"), F.max("date").alias("hi")))
+
+
+@_q("SELECT doc_id, n_chars FROM documents")
+def drop_high_missing(spark, d):
+    df = _t(spark, d, "documents").select("doc_id", "n_chars", F.when(F.col("doc_id") % 3 == 0, 1).alias("sparse"))
+    return split.drop_high_missing(df, 0.5)[0]
+
+
+@_q("WITH " + BARS + "," + RET0 + f""", v AS (SELECT {_roll('stddev_samp', 'r', 5)} AS v, {_roll('stddev_samp', 'r', 5, 1, 5)} AS t FROM ret)
+    SELECT count(*) AS rows_before, count(*) FILTER (WHERE v <= 0) AS dropped_non_positive_vol, count(*) FILTER (WHERE NOT coalesce(v <= 0, false) AND t IS NULL) AS dropped_null_target FROM v""")
+def hygiene_counts(spark, d):
+    r = F.col("log_return")
+    return split.hygiene_counts(returns(spark, d).withColumns({"realized_vol_5d": P.realized_vol(r, 5), "target_realized_vol_5d": P.forward_vol(r)}))
+
+
+@_q("SELECT l_suppkey, l_partkey, arg_max(l_extendedprice, o) AS l_extendedprice, max(o) AS o FROM (SELECT *, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS o FROM lineitem) GROUP BY 1, 2")
+def dedup_keep_last(spark, d):
+    df = _t(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_extendedprice", (F.col("l_orderkey") * 100000000 + F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("o"))
+    return P.keep_last(df, ["l_suppkey", "l_partkey"], "o")
+
+
+@_q("SELECT l_quantity = 1 AS flag, count(*) AS n FROM lineitem GROUP BY 1")
+def zero_volume_flag(spark, d):
+    return _t(spark, d, "lineitem").groupBy((F.col("l_quantity") - 1 == 0).alias("flag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_q("""WITH j AS (SELECT doc_id, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))
+    SELECT 'doc_id' AS "column", 0.0::DOUBLE AS null_fraction FROM j GROUP BY 1 UNION ALL SELECT 'quality', round(avg((quality IS NULL)::INT), 6) FROM j UNION ALL SELECT 'toxic', round(avg((toxic IS NULL)::INT), 6) FROM j""")
+def null_fraction(spark, d):
+    return _rounded(A.null_fractions(_t(spark, d, "documents").select("doc_id").join(_t(spark, d, "labels"), "doc_id", "left")))
+
+
+@_q("SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS duplicate_rows FROM documents")
+def duplicate_count(spark, d):
+    return A.duplicate_rows(_t(spark, d, "documents"), ["text", "lang"])
+
+
+CORR = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@_q(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM lineitem" for i, a in enumerate(CORR) for b in CORR[i:]))
+def corr_matrix(spark, d):
+    return _rounded(A.correlations(_t(spark, d, "lineitem"), list(CORR)))
+
+
+@_q("""WITH a AS (SELECT min(o_orderdate) AS a0, max(o_orderdate) AS a1 FROM orders), b AS (SELECT min(l_shipdate) AS b0, max(l_shipdate) AS b1 FROM lineitem)
+    SELECT strftime(a0, '%Y-%m-%d') AS prices_min, strftime(a1, '%Y-%m-%d') AS prices_max, strftime(b0, '%Y-%m-%d') AS news_min, strftime(b1, '%Y-%m-%d') AS news_max,
+    strftime(greatest(a0, b0), '%Y-%m-%d') AS overlap_start, strftime(least(a1, b1), '%Y-%m-%d') AS overlap_end, greatest(a0, b0) <= least(a1, b1) AS has_overlap FROM a, b""")
+def date_overlap(spark, d):
+    return _days(A.date_overlap(_t(spark, d, "orders").withColumnRenamed("o_orderdate", "date"), _t(spark, d, "lineitem").withColumnRenamed("l_shipdate", "date")))
+
+
+@_q("""WITH e AS (SELECT DISTINCT o_custkey AS ticker, date_trunc('month', o_orderdate) AS date FROM orders), n AS (SELECT count(DISTINCT date) AS n FROM e), k AS (SELECT ticker, count(*) AS k FROM e GROUP BY 1)
+    SELECT ticker, n AS expected_days, k AS actual_days, n - k AS missing_days, round((n - k)::DOUBLE / n, 6) AS missing_pct FROM k, n WHERE (n - k)::DOUBLE / n > 0.2""")
+def missing_days_gt20(spark, d):
+    return _rounded(A.missing_days(_t(spark, d, "orders").select(F.col("o_custkey").alias("ticker"), F.date_trunc("month", "o_orderdate").alias("date"))))
+
+
+@_q("""WITH g AS (SELECT o_custkey AS ticker, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT sum(n) AS t FROM g)
+    SELECT ticker, n, round(sum(n) OVER (ORDER BY n DESC, ticker ROWS UNBOUNDED PRECEDING)::DOUBLE / t, 6) AS cumulative_share FROM g, t ORDER BY n DESC, ticker LIMIT 100""")
+def pareto_top100(spark, d):
+    return _rounded(A.pareto(_t(spark, d, "orders").select(F.col("o_custkey").alias("ticker"))))
+
+
+@_q("""WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)
+    SELECT CAST(least(floor((o_totalprice - lo) / ((hi - lo) / 80)) + 1, 80) AS INTEGER) AS bin, count(*) AS n FROM orders, e GROUP BY 1""")
+def histogram80(spark, d):
+    return A.histogram(_t(spark, d, "orders"), "o_totalprice")
+
+
+@_q(r"""SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(upper(p_name || '.' || chr(CAST(65 + p_partkey % 26 AS INTEGER))), '\s+', '', 'g'), '\.(A|AX|B|C|K|L|N|O|PA|SA|TO)$', ''), '[^A-Z0-9.\-]', '', 'g') AS ticker FROM part""")
+def ticker_normalize(spark, d):
+    raw = F.concat("p_name", F.lit("."), F.chr(65 + F.col("p_partkey") % 26))
+    return _t(spark, d, "part").select("p_partkey", T.normalize_ticker(raw).alias("ticker"))
+
+
+@_q("SELECT CASE WHEN trim(coalesce(text, '')) <> '' THEN 'article' ELSE 'title' END AS text_source, count(*) AS n FROM documents GROUP BY 1")
+def text_source(spark, d):
+    return news(spark, d).groupBy("text_source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _clean_sql() -> str:
+    x = "trim(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'))"
+    for pattern in T.BOILERPLATE:
+        x = f"regexp_replace({x}, '{pattern}', ' ', 'g')"
+    x = f"string_split({x}, '$')"
+    part = "CASE WHEN i = 1 OR regexp_extract(p, '^[A-Za-z]{1,10}') = '' THEN (CASE WHEN i = 1 THEN p ELSE '$' || p END) ELSE upper(regexp_extract(p, '^[A-Za-z]{1,10}')) || substr(p, length(regexp_extract(p, '^[A-Za-z]{1,10}')) + 1) END"
+    return f"clean AS (SELECT doc_id, trim(regexp_replace(array_to_string(list_transform({x}, lambda p, i: {part}), ''), '{WHITE}', ' ', 'g')) AS cleaned_text FROM documents)"
+
+
+CLEAN = _clean_sql()
+WORDS = f"words AS (SELECT doc_id, list_filter(list_transform(string_split(cleaned_text, ' '), lambda t: lower(trim(t, '.,;:!?()[]{{}}\"''' ))), lambda t: t <> '') AS w, cleaned_text FROM clean)"
+
+
+def cleaned(spark, d):
+    return X.clean_news_frame(news(spark, d))
+
+
+@_q(f"WITH {CLEAN} SELECT doc_id, md5(cleaned_text) AS cleaned_md5 FROM clean")
+def clean_text(spark, d):
+    return cleaned(spark, d).select("doc_id", F.md5(F.col("cleaned_text").cast("binary")).alias("cleaned_md5"))
+
+
+@_q(f"WITH {CLEAN}, n AS (SELECT *, CASE WHEN cleaned_text = '' THEN 0 ELSE len(string_split(cleaned_text, ' ')) END AS k FROM clean) SELECT doc_id, CAST(length(cleaned_text) AS INTEGER) AS char_count, CAST(k AS INTEGER) AS word_count, round(coalesce(length(cleaned_text)::DOUBLE / nullif(k, 0), 0), 4) AS avg_word_length FROM n")
+def text_metrics(spark, d):
+    c = F.col("cleaned_text")
+    return cleaned(spark, d).select("doc_id", T.char_count(c).alias("char_count"), T.word_count(c).alias("word_count"), F.round(T.average_word_length(c), 4).alias("avg_word_length"))
+
+
+LEX = f"""lex AS (SELECT doc_id, tanh((len(list_filter(w, lambda t: t IN ('the', 'of'))) - len(list_filter(w, lambda t: t IN ('and', 'to')))) / 3.0) AS s FROM words),
+    scored AS (SELECT doc_id, s, CASE WHEN 0.34 + greatest(s, 0) * 0.6 >= 0.34 + greatest(-s, 0) * 0.6 THEN 'positive' ELSE 'negative' END AS label FROM lex)"""
+
+
+@_q(f"WITH {CLEAN}, {WORDS}, {LEX} SELECT doc_id, round(s, 6) AS score, label FROM scored")
+def lexicon_sentiment(spark, d):
+    s = sentiment.score_lexicon(cleaned(spark, d), "cleaned_text", POS, NEG)
+    return s.select("doc_id", F.round("finbert_sentiment_score", 6).alias("score"), F.col("finbert_label").alias("label"))
+
+
+DAILY = f"""WITH {CLEAN}, {WORDS}, {LEX}, {NEWS}, daily AS (SELECT ticker, date, avg(s) AS m, avg((label = 'positive')::INT) AS pos, count(*) AS n
+    FROM news JOIN scored USING (doc_id) GROUP BY 1, 2)"""
+
+
+@_q(DAILY + " SELECT ticker, strftime(date, '%Y-%m-%d') AS date, round(m, 6) AS mean, round(pos, 6) AS positive, n FROM daily")
+def daily_sentiment(spark, d):
+    out = A.daily_sentiment(sentiment.score_lexicon(cleaned(spark, d), "cleaned_text", POS, NEG))
+    return _days(_rounded(out.select("ticker", "date", F.col("finbert_sentiment_mean").alias("mean"), F.col("finbert_pct_positive").alias("positive"), F.col("news_count").alias("n"))))
+
+
+@_q(DAILY + " SELECT ticker, strftime(date, '%Y-%m-%d') AS date, round(lag(m) OVER w, 6) AS mean, CAST(lag(n) OVER w AS DOUBLE) AS n FROM daily WINDOW w AS (PARTITION BY ticker ORDER BY date)")
+def lagged_news(spark, d):
+    out = sentiment.news_features(sentiment.score_lexicon(cleaned(spark, d), "cleaned_text", POS, NEG))
+    return _days(_rounded(out.select("ticker", "date", F.col("finbert_sentiment_mean").alias("mean"), F.col("news_count").cast("double").alias("n"))))
+
+
+TERMS = f"""{CLEAN}, {WORDS}, kept AS (SELECT doc_id, list_filter(w, lambda t: t NOT IN ('the', 'of', 'and', 'to')) AS k FROM words),
+    terms AS (SELECT doc_id, unnest(list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]))) AS term FROM kept),
+    dfs AS (SELECT term, count(DISTINCT doc_id) AS df FROM terms GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500),
+    vocab AS (SELECT term, df, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf, row_number() OVER (ORDER BY df DESC, term) - 1 AS idx FROM dfs)"""
+
+
+@_q(f"WITH {TERMS} SELECT term, df, round(idf, 6) AS idf, idx FROM vocab")
+def tfidf_vocab(spark, d):
+    return _rounded(tfidf.fit(cleaned(spark, d), "cleaned_text", 500, (1, 2), STOP.split())).withColumn("idx", F.col("idx").cast("long"))
+
+
+@_q(f"""WITH {TERMS}, c AS (SELECT doc_id, term, count(*) AS n FROM terms JOIN vocab USING (term) GROUP BY 1, 2),
+    x AS (SELECT term, n / sum(n) OVER (PARTITION BY doc_id) * idf AS weight FROM c JOIN vocab USING (term))
+    SELECT term, round(sum(weight) / (SELECT count(*) FROM documents), 6) AS mean_weight FROM x GROUP BY 1 ORDER BY sum(weight) DESC, 1 LIMIT 20""")
+def tfidf_top_terms(spark, d):
+    docs = cleaned(spark, d)
+    vocabulary = tfidf.fit(docs, "cleaned_text", 500, (1, 2), STOP.split())
+    return _rounded(tfidf.top_terms(docs, "cleaned_text", "doc_id", vocabulary, stop=STOP.split()))
+
+
+# ---- quality, models -------------------------------------------------------------------------------------------
+
+
+@_q("""SELECT 'o_totalprice > 0' AS expectation, count(*) FILTER (WHERE o_totalprice <= 0) AS failing, count(*) FILTER (WHERE o_totalprice <= 0) = 0 AS success FROM orders
+    UNION ALL SELECT 'o_orderstatus in set', count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')), count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) = 0 FROM orders
+    UNION ALL SELECT 'o_custkey is not null', count(*) FILTER (WHERE o_custkey IS NULL), count(*) FILTER (WHERE o_custkey IS NULL) = 0 FROM orders""")
+def validation_summary(spark, d):
+    return quality.evaluate(_t(spark, d, "orders"), [quality.above("o_totalprice", 0), quality.member("o_orderstatus", ("F", "O")), quality.not_null("o_custkey")])
+
+
+@_q("WITH " + BARS + " SELECT count(*) FILTER (WHERE nxt <= date) AS failing FROM (SELECT date, lead(date) OVER (PARTITION BY ticker ORDER BY date) AS nxt FROM bars)")
+def anti_leakage_check(spark, d):
+    return bars(spark, d).withColumn("nxt", F.lead("date").over(P.by_entity())).agg(F.count_if(F.col("nxt") <= F.col("date")).alias("failing"))
+
+
+@_q("WITH j AS (SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)), m AS (SELECT median(quality) AS m FROM j WHERE doc_id % 2 = 0) SELECT doc_id, CAST(coalesce(quality, m) AS DOUBLE) AS quality FROM j, m")
+def median_impute(spark, d):
+    j = _t(spark, d, "documents").select("doc_id").join(_t(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return ml.MedianImputer.fit(j.where("doc_id % 2 = 0"), ["quality"]).transform(j)
+
+
+@_q("WITH m AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders) SELECT o_orderkey, round((o_totalprice - m) / s, 6) AS z FROM orders, m")
+def standardize(spark, d):
+    return _rounded(ml.standardized(_t(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("z")), ["z"]))
+
+
+@_q("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def top_k(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+
+
+@_q("SELECT lang AS mode FROM documents GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1")
+def mode_smallest(spark, d):
+    return A.value_counts(_t(spark, d, "documents"), "lang").orderBy(F.desc("n"), "lang").limit(1).select(F.col("lang").alias("mode"))
+
+
+@_q("""SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, max(value) AS high, min(value) AS low, count(*) AS n FROM events GROUP BY 1, 2""")
+def event_bars_hourly(spark, d):
+    return event_bars(_t(spark, d, "events")).select("user_id", F.date_format("start", "yyyy-MM-dd HH").alias("start"), "high", "low", "n")
+
+
+def _matrix(spark, d):
+    prices = X.price_features(bars(spark, d), macro(spark, d), CONFIG)
+    mood = X.news_features(cleaned(spark, d), CONFIG, positive=POS, negative=NEG)
+    return X.feature_matrix(prices, mood, CONFIG)
+
+
+
+
+@_q()
+def feature_matrix(spark, d):
+    return _matrix(spark, d)[0]
+
+
+@_q(
+    "WITH " + BARS + "," + RET0 + "," + MACRO + "," + REL + f""", f AS (SELECT ticker, date, {_roll('stddev_samp', 'r', 5)} * sqrt(252) AS v, {_roll('avg', 'r', 20)} AS m, {_roll('stddev_samp', 'r', 5, 1, 5)} * sqrt(252) AS t,
+      lead(date) OVER (PARTITION BY ticker ORDER BY date) AS s FROM ret), g AS (SELECT f.*, rel.macro_total AS x FROM f ASOF LEFT JOIN rel ON f.date >= rel.eff),
+    h AS (SELECT ticker, date, t, s, lag(v) OVER w AS v, lag(m) OVER w AS m, lag(x) OVER w AS x FROM g WINDOW w AS (PARTITION BY ticker ORDER BY date))
+    SELECT ticker, strftime(date, '%Y-%m-%d') AS date, round(t, 6) AS target_realized_vol_5d, strftime(s, '%Y-%m-%d') AS target_start_date, round(v, 6) AS realized_vol_5d, round(m, 6) + 0.0 AS rolling_mean_20d, round(x, 4) AS macro_total FROM h"""
+)
+def price_features_core(spark, d):
+    f = X.price_features(bars(spark, d), macro(spark, d), CONFIG)
+    out = f.select("ticker", "date", "target_realized_vol_5d", "target_start_date", "realized_vol_5d", "rolling_mean_20d", F.round("macro_total", 4).alias("macro_total"))
+    return _days(_rounded(out))
+
+
+@_q()
+def pca_2d(spark, d):
+    return ml.pca_2d(_t(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+@_q()
+def baseline_mae(spark, d):
+    return ml.run_baselines(_matrix(spark, d)[0], 5000, only=["LinearRegression_price_only", "LinearRegression_price_plus_sentiment"]).results
+
+
+@_q()
+def gbt_mae(spark, d):
+    return ml.run_baselines(_matrix(spark, d)[0], 5000, trees=20, only=["GradientBoosting_price_plus_sentiment"]).results
+
+
+@_q()
+def adf(spark, d):
+    return ml.adf_by_entity(returns(spark, d))
+
+
+@_q()
+def sample_n(spark, d):
+    return A.sample_rows(_t(spark, d, "orders"), 100, ["o_orderkey"])
+
+
+@_q()
+def missingness(spark, d):
+    return quality.missingness({"news": _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left"), "prices": returns(spark, d)})
+
+
