@@ -10,7 +10,6 @@ tokenising). No length class is gathered in one task.
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from array import array
@@ -27,135 +26,114 @@ from .common import id_text, map_arrow, settle, texts_of
 
 CAPACITY, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
-PUNCTUATION = ".,!?;:%$#*&"
-SPACES, CONTROLS = re.compile("[ \t\n\r\x0b\x0c]+"), re.compile("[\x1c-\x1f]")
-CORES, CHUNKS = 600_000, 500_000  # entries of the caches in a worker
+SPACES = "\t\n\r\x0b\x0c\x85\xa0"  # what the tokenizer drops below U+0100, besides the space
+# Below U+0100: single numbers, runs of what is neither letter, number nor white space, and both with contractions before.
+NUMBERS = "[0-9\xb2\xb3\xb9\xbc-\xbe]"
+RUNS = "[\x00-\x08\x0e-\x1f!-/:-@\\[-`{-\x84\x86-\x9f\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7]+"
+PARTS = re.compile(f"('(?:s|t|re|ve|m|ll|d)|{NUMBERS}|{RUNS})")
+NUMBERS, RUNS = re.compile(f"({NUMBERS})"), re.compile(f"({RUNS})")
+WIDE, BREAK = re.compile("[^\x00-\xff]"), re.compile("[ \n]")
+LONGEST = 512  # bytes of a word
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, remembered for each chunk between white space.
-
-    The tokenizer drops white space and no token crosses it, so a text's ids are its chunks' ids in order. A chunk
-    of letters with punctuation behind is encoded as both, since its pattern separates them; letters below U+0100
-    are looked up in lower case, as the tokenizer lower-cases. All else is encoded as it stands.
+    """Ids of whole texts as the tokenizers library gives them, most of it done by the faster tiktoken.
+
+    A token never crosses white space and the vocabulary marks the end of a word. So a text is lower-cased, every
+    word, number and run of punctuation gets one space behind it, and that space plays the end mark: the
+    vocabulary becomes byte strings, ranked by its own merge order with "byte + end" first. Two parts can only
+    join into a string by the merge that made it, because every entry encodes to itself (tested), so both
+    libraries give the same ids. That reading holds for characters below U+0100; chunks between white space with
+    others, and texts with words over LONGEST bytes, whose time grows with the square there, are left to the
+    tokenizers library.
     """
 
     def __init__(self, path: str):
+        import json
+
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def _known(self, part: str) -> bytes | None:
-        if (ids := self.young.get(part)) is None and (ids := self.old.get(part)) is not None:
-            self.young[part] = ids
-        return ids
-
-    def _learn(self, new: set[str]) -> None:
-        """Remember the ids of new chunks, with one call of the library for the parts never met."""
-        if len(self.chunks) > CHUNKS:
-            self.chunks.clear()
-        if len(self.young) > CORES:
-            self.old, self.young = self.young, {}
-        late, missing, chunks, known, young = [], set(), self.chunks, self._known, self.young.get
-        for chunk in new:
-            key = core = chunk.rstrip(PUNCTUATION)
-            if not core.isalpha():
-                key = core = chunk
-            elif core.isascii():
-                key = core.lower()
-            else:
-                try:
-                    core.encode("latin-1")
-                    key = core.lower()
-                except UnicodeEncodeError:
-                    key = core = chunk
-            front = young(key) or known(key)
-            if len(core) == len(chunk):
-                if front is not None:
-                    chunks[chunk] = front
-                    continue
-                tail, back = "", b""
-            else:
-                tail = chunk[len(core) :]
-                back = young(tail) or known(tail)
-                if front is not None and back is not None:
-                    chunks[chunk] = front + back
-                    continue
-            late.append((chunk, key, tail))
-            if front is None:
-                missing.add(key)
-            if back is None:
-                missing.add(tail)
-        names = list(missing)
-        for name, e in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False)):
-            self.young[name] = array("I", e.ids).tobytes()
-        for chunk, key, tail in late:
-            chunks[chunk] = known(key) + (known(tail) if tail else b"")
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, looked up chunk by chunk.
-
-        str.split() also splits at 1C-1F, which the tokenizer does not drop; texts with those are split at spaces.
-        """
-        words = [[w for w in SPACES.split(t) if w] if CONTROLS.search(t) else t.split() for t in texts]
-        get = self.chunks.get
-        found = [list(map(get, ws)) for ws in words]
-        out: list[bytes | None] = []
-        gaps: dict[int, list[int]] = {}
-        for k, values in enumerate(found):
-            try:
-                out.append(b"".join(values))
-            except TypeError:
-                out.append(None)
-                gaps[k] = [i for i, v in enumerate(values) if v is None]
-        self._learn({words[k][i] for k, at in gaps.items() for i in at})
-        for k, at in gaps.items():
-            values, own = found[k], words[k]
-            for i in at:
-                values[i] = self.chunks[own[i]]
-            out[k] = b"".join(values)
-        return out
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, mark = model["vocab"], model["end_of_word_suffix"]
+        byte_of = _byte_alphabet()
+
+        def raw(token: str) -> bytes:
+            end = token.endswith(mark)
+            return bytes(byte_of[c] for c in (token[: -len(mark)] if end else token)) + b" " * end
+
+        order = [c for c in byte_of] + [c + mark for c in byte_of] + [a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
+        ranks: dict[bytes, int] = {}
+        for token in order:
+            ranks.setdefault(raw(token), len(ranks))
+        ids = {raw(token): i for token, i in vocab.items() if not token.startswith("Ġ")}
+        self.id_of = np.array([ids.get(token, 0) for token in ranks], "<u4")
+        stop = len(ranks)  # a special token no text may use; without one the library searches for an empty string
+        self.core = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={"<\x00>": stop})._core_bpe
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _narrow(self, text: str) -> bytes:
+        """Ids of a text of characters below U+0100."""
+        text = text.lower()
+        for space in SPACES:
+            text = text.replace(space, " ")
+        for parts in (PARTS,) if "'" in text else (NUMBERS, RUNS):
+            text = " ".join(parts.split(text))
+        ready = text + " "
+        at = np.flatnonzero(np.frombuffer(ready.encode(), np.uint8) == 32)
+        if np.diff(at, prepend=-1).max() > LONGEST:
+            return self._library([text])[0]
+        return self.id_of[np.frombuffer(self.core.encode_to_tiktoken_buffer(ready, set()), np.uint32)].tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text."""
+        if not WIDE.search(text):
+            return self._narrow(text)
+        runs, wide, at = [], [], 0
+        while m := WIDE.search(text, at):
+            begin = max(at, *(text.rfind(space, at, m.start()) + 1 for space in " \n"))
+            stop = BREAK.search(text, m.start())
+            stop = stop.start() if stop else len(text)
+            runs.append(text[at:begin])
+            wide.append(text[begin:stop])
+            at = stop
+        pairs = zip(map(self._narrow, runs), self._library(wide))
+        return b"".join([part for pair in pairs for part in pair] + [self._narrow(text[at:])])
+
+
+def _byte_alphabet() -> dict[str, int]:
+    """Printable stand-ins of the 256 bytes in byte-level vocabularies: themselves if visible, else from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
-def _portions(texts: list[str], most: int = 1 << 16):
-    begin = used = 0
-    for i, t in enumerate(texts):
-        used += len(t)
-        if used > most:
-            yield texts[begin : i + 1]
-            begin, used = i + 1, 0
-    if begin < len(texts):
-        yield texts[begin:]
-
-
 def _pieces(path: str, capacity: int, end: int):
     def run(batches):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
-        gc.disable()  # the caches are many small objects without cycles
         part, ranks = TaskContext.get().partitionId(), defaultdict(int)
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
-            rows, at = [], 0
+            rows = []
             ids = batch.column(0).to_pylist()
-            for texts in _portions(texts_of(batch)):
-                for blob in encoder.encode_all(texts):
-                    blob += last
-                    for k in range(0, len(blob), 4 * capacity):
-                        piece = blob[k : k + 4 * capacity]
-                        n = len(piece) // 4
-                        rows.append((ids[at], k // (4 * capacity), k // 4, n, zlib.crc32(piece), part, ranks[n]))
-                        ranks[n] += 1
-                    at += 1
+            for doc_id, text in zip(ids, texts_of(batch)):
+                blob = encoder.encode(text) + last
+                for k in range(0, len(blob), 4 * capacity):
+                    piece = blob[k : k + 4 * capacity]
+                    n = len(piece) // 4
+                    rows.append((doc_id, k // (4 * capacity), k // 4, n, zlib.crc32(piece), part, ranks[n]))
+                    ranks[n] += 1
             cols = list(zip(*rows)) if rows else [()] * 7
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "own_rank"])

@@ -1,6 +1,7 @@
 """Each operator against a plain version, on the small tables and on odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -122,6 +123,19 @@ def check_packing(rows, texts, tokenizer):
     return len(bins), sum(w[3] for w in want)
 
 
+def test_word_encoder_equals_the_library():
+    """Every word of the vocabulary encodes to itself, and odd texts get the library's ids."""
+    encoder, rng = packing.WordEncoder(P.path(packing.TOKENIZER)), random.Random(3)
+    ids = encoder.tokenizer.get_vocab()
+    words = [w[:-4] for w in ids if w.endswith("</w>") and w[:-4].isascii() and w[:-4].isalpha()]
+    assert len(words) > 10000 and all(encoder.encode(w) == ids[w + "</w>"].to_bytes(4, "little") for w in words)
+    pool = [chr(c) for c in range(256)] + list("'''stremvld  \n\n..,,!!") * 6 + list("бвΣς中文́’😀İ<|>")
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(80))) for _ in range(8000)]
+    texts += ["".join(rng.choice("abcdehinorst") for _ in range(rng.randrange(1, 60))) for _ in range(8000)]
+    texts += ["ab" * n for n in range(0, 400, 7)] + ["<|endoftext|> x <\x00>", "don't 'st ,'s", "a b " * 500 + "b" * 3000]
+    assert [encoder.encode(t) for t in texts] == encoder._library(texts)
+
+
 def test_packing(odd, docs, texts):
     path = P.path(packing.TOKENIZER)
     check_packing(packing.pack(odd, path).collect(), ROWS, path)
