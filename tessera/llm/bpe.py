@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import gc
+from array import array
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -91,10 +92,12 @@ class BytePairEncoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.vocabulary = {i: t for t, i in ranks.items()}
+        self.vocabulary = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, i in ranks.items():
+            self.vocabulary[i] = token
         # White space as Rust's engines have it: Python's \s has four control characters more.
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.ascii_space = regex.compile(r"\p{White_Space}")
+        self.spaces = frozenset(regex.findall(r"\p{White_Space}", "".join(map(chr, range(0x3001)))))
         self.hash = PerfectHash(list(ranks))
         self.ids_at = [ranks[t] for t in self.hash.slots]
         self.young: dict[str, bytes] = {}
@@ -137,7 +140,7 @@ class BytePairEncoder:
                     missing.append(p)
         raw = [p.encode("utf-8") for p in missing]
         for p, b, slot in zip(missing, raw, self.hash.find(raw)):
-            self.young[p] = np.array([self.ids_at[slot]] if slot >= 0 else self.merge(b), "<u4").tobytes()
+            self.young[p] = array("I", [self.ids_at[slot]] if slot >= 0 else self.merge(b)).tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text.
@@ -150,11 +153,11 @@ class BytePairEncoder:
         whole: dict[int, list[str]] = {}
         if len(self.chunks) > CHUNKS:
             self.chunks.clear()
-        findall, space, chunks = self.pattern.findall, self.ascii_space.fullmatch, self.chunks
+        findall, spaces, chunks = self.pattern.findall, self.spaces, self.chunks
         for k, parts in enumerate(plain):
             for c in set(parts).difference(chunks):
                 if c not in new:
-                    if not c or space(c[0]) or space(c[-1]):
+                    if not c or c[0] in spaces or c[-1] in spaces:
                         whole[k] = findall(texts[k])
                         break
                     new[c] = findall(" " + c)
