@@ -133,8 +133,8 @@ class SemiCRF:
     def _ids(self, names) -> list[int]:
         return [k for k in (self.index.get(x) for x in names) if k is not None]
 
-    def _lattice(self, tokens, grow=False):
-        out = []
+    def _arcs(self, tokens, grow=False):
+        """(i, j, label, feature ids) of all candidate segments, by i; one at a time, as an island may be long."""
         for i, j, names, labels in _segments(tokens):
             if names is None:
                 names = ("tok" + ("9" * min(len(tokens[i]), 9) if tokens[i].isdigit() else "a" if tokens[i].isalpha() else tokens[i]),)
@@ -144,8 +144,10 @@ class SemiCRF:
                         self.index.setdefault(x, len(self.index))
             ids = self._ids(names)
             for y in labels:
-                out.append((i, j, y, ids))
-        return out
+                yield i, j, y, ids
+
+    def _lattice(self, tokens, grow=False):
+        return list(self._arcs(tokens, grow))
 
     def fit(self, examples, rounds: int = 12, rate: float = 0.5, decay: float = 1e-3) -> "SemiCRF":
         """examples: [(tokens, [(i, j, label)])], a full segmentation each."""
@@ -199,22 +201,27 @@ class SemiCRF:
     def decode(self, tokens: list[str]) -> list[tuple[int, int, int]]:
         """The best segmentation: [(i, j, label)] of its entities."""
         n, L, move = len(tokens), len(LABELS), self.move
-        best = [[-math.inf] * L for _ in range(n + 1)]
-        back: list[list] = [[None] * L for _ in range(n + 1)]
-        best[0][0] = 0.0
-        for i, j, y, ids in self._lattice(tokens):
+        best: list = [[0.0] + [-math.inf] * (L - 1), *[None] * n]  # rows ahead of i only
+        back = bytearray((n + 1) * L)  # length of the last segment * L + the label before it
+        at = 0
+        for i, j, y, ids in self._arcs(tokens):
+            while at < i:
+                best[at] = None
+                at += 1
             row, own = self.rows[y], best[i]
             score = sum(row[k] for k in ids)
             value, frm = max((own[x] + move[x, y], x) for x in range(L))
+            if best[j] is None:
+                best[j] = [-math.inf] * L
             if value + score > best[j][y]:
-                best[j][y], back[j][y] = value + score, (i, frm)
+                best[j][y], back[j * L + y] = value + score, (j - i) * L + frm
         y = max(range(L), key=lambda x: best[n][x])
         out, j = [], n
         while j > 0:
-            i, frm = back[j][y]
+            size, frm = divmod(back[j * L + y], L)
             if y:
-                out.append((i, j, y))
-            j, y = i, frm
+                out.append((j - size, j, y))
+            j, y = j - size, frm
         return out[::-1]
 
 
@@ -249,6 +256,10 @@ def _examples(count: int = 260, seed: int = 11):
         gap = r.choice(("", " ", " ", " / "))
         front = num(r.randint(1, 4)) + (gap or " ") if r.random() < 0.15 and kind != "email" else ""
         parts = [("other", front)] * bool(front) + [(kind, text)]
+        if kind != "email" and (more := r.random()) < 0.3:  # islands go on: a number after, or further ones of the kind
+            between = r.choice((" ", " ", " / "))
+            for _ in range(1 if more < 0.1 else r.randint(1, 3)):
+                parts += [("other", between), ("other", num(r.randint(1, 4))) if more < 0.1 else (kind, make())]
         tokens, gold = [], []
         for label, part in parts:
             own = TOKEN.findall(part)
@@ -266,31 +277,61 @@ def trained() -> SemiCRF:
     return SemiCRF().fit(_examples())
 
 
+AT = re.compile(r" ?[\[({]at[\])}]")
+
+
+def _whole_tokens(text: str, begin: int, end: int) -> tuple[int, int]:
+    """[begin, end) without the token at either end that goes on outside, and without the marks this bares."""
+    if begin and begin < end and text[begin].isalnum() and text[begin - 1].isalnum():
+        begin = TOKEN.match(text, begin, end).end()
+        if m := AT.match(text, begin, end):
+            begin = m.end()
+    if end < len(text) and begin < end and text[end - 1].isalnum() and text[end].isalnum():
+        same = str.isdigit if text[end - 1].isdigit() else str.isalpha
+        while end > begin and text[end - 1].isascii() and same(text[end - 1]):
+            end -= 1
+    while begin < end and not (text[begin].isalnum() or text[begin] in "+(["):
+        begin += 1
+    while end > begin and not text[end - 1].isalnum():
+        end -= 1
+    return begin, end
+
+
 def extra_spans(text: str, field: SemiCRF, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans that the field adds: they do not touch base spans nor each other."""
+    """Spans that the field adds: they do not touch base spans nor each other.
+
+    Base spans are fixed segments of an island; what lies between them is decoded. A token that touches a letter
+    outside is part of a code or word and is left out, the rest of its island is read.
+    """
     out = []
     if not (HAS_DIGITS.search(text) or "at)" in text or "at]" in text or "at}" in text):
         return out
-    taken, k = sorted((s, e) for s, e, _ in base), 0
+    taken, k, last = sorted((s, e) for s, e, _ in base), 0, 0
     for m in ISLAND.finditer(text):
-        if m.end() - m.start() < LEAST_DIGITS:
-            continue
         begin, end = m.span()
+        if "at" in m.group():
+            while begin > last and text[begin - 1] in LOCAL:  # the whole name, however long
+                begin -= 1
+        last = end
+        if end - begin < LEAST_DIGITS:
+            continue
         while k < len(taken) and taken[k][1] <= begin:
             k += 1
-        if k < len(taken) and taken[k][0] < end:
-            continue  # the island holds a base span: its reading is fixed
-        island = m.group()
-        if "at" not in island and sum(map(str.isdigit, island)) < LEAST_DIGITS:
-            continue
-        if (begin and text[begin - 1].isalnum()) or (end < len(text) and text[end].isalnum()):
-            continue  # part of a code or word
-        tokens = TOKEN.findall(island)
-        for i in range(0, len(tokens), 512):  # very long islands are read in parts
-            part = tokens[i : i + 512]
-            start = begin + sum(map(len, tokens[:i]))
-            edges = np.cumsum([0, *map(len, part)]).tolist()
-            out += [(start + edges[a], start + edges[b], LABELS[y]) for a, b, y in field.decode(part)]
+        gaps, at, n = [], begin, k
+        while n < len(taken) and taken[n][0] < end:
+            gaps.append((at, taken[n][0]))
+            at = max(at, taken[n][1])
+            n += 1
+        for begin, end in (*gaps, (at, end)):
+            if end - begin < LEAST_DIGITS:
+                continue
+            begin, end = _whole_tokens(text, begin, end)
+            part = text[begin:end]
+            if "at" not in part and sum(map(str.isdigit, part)) < LEAST_DIGITS:
+                continue
+            tokens = TOKEN.findall(part)
+            edges = np.cumsum([begin, *map(len, tokens)]).tolist()
+            out += [(edges[a], edges[b], LABELS[y]) for a, b, y in field.decode(tokens)]
     return out
 
 

@@ -97,6 +97,20 @@ def test_field_decodes_the_best_segmentation():
     assert not pii.find("on 2020-01-31 at 12:30:45, 1234567", field)[1]
 
 
+def test_field_reads_whole_islands():
+    """Beside base spans, before a token that touches a letter, and however long the island is."""
+    field = pii.trained()
+    found = lambda text: [(text[s:e], k) for s, e, k in pii.find(text, field)[1]]
+    phone, card = ("(212) 555-0199", "phone"), ("4111 1111 1111 1111", "card")
+    assert found("4111 1111 1111 1111 (212) 555-0199") == [card, phone]
+    assert found("10.0.0.1 212-555-0199") == [("10.0.0.1", "ip"), ("212-555-0199", "phone")]
+    assert found("(212) 555-0199 2nd floor") == found("(212) 555-0199 5pm") == found("A12 (212) 555-0199") == [phone]
+    assert found("x12345678901y 2020-01-31") == []
+    assert found("b" * 80 + " (at) mail (dot) com") == [("b" * 80 + " (at) mail (dot) com", "email")]
+    many = " ".join(["212-555-0199"] * 400)
+    assert found(many) == [("212-555-0199", "phone")] * 400
+
+
 def test_pii_rows(odd):
     got = pii.find_pii(odd).collect()
     assert len(got) == len(ROWS)
