@@ -453,12 +453,12 @@ def pca_2d(spark, d):
 
 @_q()
 def baseline_mae(spark, d):
-    return ml.run_baselines(_matrix(spark, d)[0], 5000, only=["LinearRegression_price_only", "LinearRegression_price_plus_sentiment"]).results
+    return ml.run_baselines(_matrix(spark, d)[0], None, only=["LinearRegression_price_only", "LinearRegression_price_plus_sentiment"]).results
 
 
 @_q()
 def gbt_mae(spark, d):
-    return ml.run_baselines(_matrix(spark, d)[0], 5000, trees=20, only=["GradientBoosting_price_plus_sentiment"]).results
+    return ml.run_baselines(_matrix(spark, d)[0], None, only=["GradientBoosting_price_plus_sentiment"]).results
 
 
 @_q()

@@ -122,3 +122,24 @@ def test_stages_end_to_end(spark, tmp_path):
         todo[name]()
     m = spark.read.parquet(paths["feature_matrix"])
     assert m.count() > 100 and {"macro_VIXCLS", "news_count", "rsi_14"} <= set(m.columns)
+
+
+@pytest.mark.parametrize("query, trees", [("baseline_mae", 300), ("gbt_mae", 300)])
+def test_registered_baselines_have_no_caps(monkeypatch, query, trees):
+    import inspect
+
+    from tessera.operators import ml
+    from tessera.plans import catalogue
+
+    signature, seen = inspect.signature(ml.run_baselines), {}
+
+    def spy(*args, **options):
+        bound = signature.bind(*args, **options)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        return ml.BaselineArtifacts(None, None)
+
+    monkeypatch.setattr(catalogue, "_matrix", lambda spark, d: [None])
+    monkeypatch.setattr(ml, "run_baselines", spy)
+    catalogue.QUERIES[query](None, "")
+    assert seen["max_train_rows"] is None and seen["trees"] == trees
