@@ -1,10 +1,11 @@
-"""Log-bilinear language model over word classes, trained with noise-contrastive estimation.
+"""Log-bilinear language model, factored into class and word, trained with noise-contrastive estimation.
 
-Counts of all training tokens are made on the cluster. The most frequent words, each a class of its own, and one
-class for all others are predicted from the two classes before; inside the last class a word has its smoothed
-share. All training trigrams of classes are counted (at most CLASSES^3 of them, whatever the corpus), and the model
-is fitted to these counts in numpy with noise-contrastive estimation. Batched matrix products give the scores of all
-classes after all contexts at once; they are normalised there, so token probabilities sum to one.
+Counts of all training tokens are made on the cluster. Every word of the vocabulary (the HEAD most frequent ones)
+belongs to a class of neighbours in frequency; one more class holds all other words. P(word) is P(class | two words
+before) times P(word | class, two words before), both log-bilinear with a vector for every word; in the last class a
+word has its smoothed share. A model of classes alone, fitted to the counts of all class trigrams, gives the start.
+Then all training tokens are gone through once, in the tasks, with noise-contrastive estimation, and the tasks'
+changes are averaged: the steps grow with the corpus. Scores are normalised over the classes and in the class.
 
 Counts of frequent words go to the tasks as a bounded table; tokens outside it meet their counts in a join.
 """
@@ -29,6 +30,8 @@ END = b" "  # the end token; no word has a space
 STEPS, BATCH, NOISE, RATE, SEED = 400, 8192, 64, 0.02, 5
 FLUSH = 300_000
 PORTION = 1 << 18
+PASS_BATCH, PASS_NOISE, PASS_RATE = 1024, 4, 0.1  # of the pass over the tokens; noise words a token, in its class
+BLOCK = 4096  # rows of a table that travel together
 
 
 def words_of(text: str) -> list[bytes]:
@@ -76,10 +79,15 @@ class Vocabulary:
         if not order or words[order[0]] != END:
             self.rank = {END: 0, **{w: k + 1 for w, k in self.rank.items()}}
             self.counts = np.concatenate([[0.0], self.counts])
-        self.own = min(CLASSES - 1, len(self.counts))  # words that are classes
         self.log_count = np.log10(self.counts + 0.1)
-        self.rest_tokens = tokens - int(self.counts[: self.own].sum())
-        self.rest_distinct = distinct - int((self.counts[: self.own] > 0).sum())
+        weight = np.sqrt(self.counts + 0.1)  # classes are runs of ranks with equal sums of these
+        before = (np.cumsum(weight) - weight) / weight.sum()
+        self.class_of = np.append((before * (CLASSES - 1)).astype(np.int64), CLASSES - 1)  # the last entry: any other word
+        self.edge = np.searchsorted(self.class_of[:-1], np.arange(CLASSES))  # class k has the ranks edge[k] to edge[k + 1] - 1
+        smooth = self.counts + 0.1
+        self.share = smooth / np.add.reduceat(smooth, np.unique(self.edge[:-1][np.diff(self.edge) > 0]))[np.unique(self.class_of[:-1], return_inverse=True)[1]]
+        self.rest_tokens = tokens - int(self.counts.sum())
+        self.rest_distinct = distinct - int((self.counts > 0).sum())
 
     @property
     def log_total(self) -> float:
@@ -98,16 +106,20 @@ class Vocabulary:
         return words, ranks, np.cumsum(sizes) - sizes
 
     def contexts(self, ranks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Context and class of every token; before a text stand two ends."""
-        cls = np.where((ranks < 0) | (ranks >= self.own), CLASSES - 1, ranks)
-        one, two = np.zeros_like(cls), np.zeros_like(cls)
-        one[1:] = cls[:-1]
-        two[2:] = cls[:-2]
+        """Class context and class of every token."""
+        one, two = self.before(ranks, first)
+        return self.class_of[two] * CLASSES + self.class_of[one], self.class_of[ranks]
+
+    def before(self, ranks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the last and second last token before each (-1: not here); before a text stand two ends."""
+        one, two = np.zeros_like(ranks), np.zeros_like(ranks)
+        one[1:] = ranks[:-1]
+        two[2:] = ranks[:-2]
         one[first] = 0
         two[first] = 0
-        second = first[first + 1 < len(cls)] + 1
+        second = first[first + 1 < len(ranks)] + 1
         two[second] = 0
-        return two * CLASSES + one, cls
+        return one, two
 
 
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
@@ -203,20 +215,171 @@ class LogBilinear:
         return ((score - np.log(np.exp(score).sum(axis=1, keepdims=True))) / math.log(10)).astype(np.float32)
 
 
-def _score(vocab, table):
+def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct indices and the sums of their rows."""
+    order = np.argsort(at, kind="stable")
+    own, begin = np.unique(at[order], return_index=True)
+    return own, np.add.reduceat(rows[order], begin, axis=0)
+
+
+class WordModel:
+    """Tables r (context), q with bias b (word in its class), qc with bias bc (class), and m1, m2; row -1 of r is any other word."""
+
+    NAMES = ("r", "q", "b", "qc", "bc", "m1", "m2")
+
+    def __init__(self, vocab: Vocabulary, start: LogBilinear):
+        rng, p = np.random.default_rng(SEED), start.p
+        tables = {
+            "r": p["r"][vocab.class_of], "q": rng.normal(0, 0.1, (len(vocab.counts), DIM)), "b": np.log(vocab.share)[:, None],
+            "qc": p["q"], "bc": p["b"][:, None], "m1": p["m1"], "m2": p["m2"],
+        }
+        self.p = {k: v.astype(np.float32) for k, v in tables.items()}
+
+    def ahead(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return self.p["r"][one] @ self.p["m1"] + self.p["r"][two] @ self.p["m2"]
+
+    def log_probabilities(self, vocab: Vocabulary, ranks: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """log10 P(word | context), of the class alone for words not here; sums to one over classes and in each class."""
+        p, cls, ahead = self.p, vocab.class_of[ranks], self.ahead(one, two)
+        score = ahead @ p["qc"].T + p["bc"][:, 0]
+        score -= score.max(axis=1, keepdims=True)
+        out = (score[np.arange(len(cls)), cls] - np.log(np.exp(score).sum(axis=1))).astype(np.float64)
+        order = np.argsort(cls, kind="stable")
+        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        for k in range(CLASSES - 1):
+            lo, hi = vocab.edge[k], vocab.edge[k + 1]
+            for s in range(ends[k], ends[k + 1] if hi - lo > 1 else ends[k], 4096):
+                at = order[s : min(s + 4096, ends[k + 1])]
+                score = ahead[at] @ p["q"][lo:hi].T + p["b"][lo:hi, 0]
+                score -= score.max(axis=1, keepdims=True)
+                out[at] += score[np.arange(len(at)), ranks[at] - lo] - np.log(np.exp(score).sum(axis=1))
+        return out / math.log(10)
+
+
+class Pass:
+    """One task's way through its tokens: AdaGrad from the given model."""
+
+    def __init__(self, vocab: Vocabulary, model: WordModel, seed: int):
+        self.vocab, self.rng = vocab, np.random.default_rng([SEED, seed])
+        self.model = WordModel.__new__(WordModel)
+        self.model.p = {k: v.copy() for k, v in model.p.items()}
+        self.square = {k: np.ones((len(v), 1), np.float32) for k, v in model.p.items()}
+        self.used = {k: np.zeros(len(v), np.float32) for k, v in model.p.items()}
+        self.cumulated = np.concatenate([[0.0], np.cumsum(vocab.counts + 0.1)])
+        self.class_noise = np.exp(model.p["bc"][:, 0].astype(np.float64))
+        self.class_noise /= self.class_noise.sum()
+
+    def _move(self, name: str, at: np.ndarray, grad: np.ndarray, used: np.ndarray | None = None) -> None:
+        own, total = _sum_rows(at, grad)
+        self.square[name][own] += np.square(total).mean(axis=1, keepdims=True)
+        self.model.p[name][own] += PASS_RATE * total / np.sqrt(self.square[name][own])
+        np.add.at(self.used[name], at, 1.0)
+
+    def learn(self, ranks: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        for s in range(0, len(ranks), PASS_BATCH):
+            self._step(ranks[s : s + PASS_BATCH], one[s : s + PASS_BATCH], two[s : s + PASS_BATCH])
+
+    def _step(self, ranks, one, two) -> None:
+        p, vocab = self.model.p, self.vocab
+        cls, r1, r2 = vocab.class_of[ranks], p["r"][one], p["r"][two]
+        ahead = r1 @ p["m1"] + r2 @ p["m2"]
+        logit = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        noise = self.rng.choice(CLASSES, NOISE, p=self.class_noise)
+        offset = np.log(NOISE * self.class_noise).astype(np.float32)
+        good = 1 - logit(np.einsum("nd,nd->n", ahead, p["qc"][cls]) + p["bc"][cls, 0] - offset[cls])
+        bad = -logit(ahead @ p["qc"][noise].T + p["bc"][noise, 0] - offset[noise])
+        d_ahead = good[:, None] * p["qc"][cls] + bad @ p["qc"][noise]
+        at, grad = np.concatenate([cls, noise]), np.concatenate([good[:, None] * ahead, bad.T @ ahead])
+        bias = np.concatenate([good, bad.sum(axis=0)])[:, None]
+        here = np.flatnonzero((ranks >= 0) & (np.diff(vocab.edge)[np.minimum(cls, CLASSES - 2)] > 1))
+        w, lo, hi = ranks[here], vocab.edge[cls[here]], vocab.edge[np.minimum(cls[here] + 1, CLASSES - 1)]
+        draw = self.cumulated[lo] + self.rng.random((PASS_NOISE, len(here))) * (self.cumulated[hi] - self.cumulated[lo])
+        fake = np.clip(np.searchsorted(self.cumulated, draw, "right") - 1, lo, hi - 1)
+        words, both = np.concatenate([w[None], fake]), ahead[here]
+        off = np.log(PASS_NOISE * vocab.share[words]).astype(np.float32)
+        found = logit(np.einsum("nd,jnd->jn", both, p["q"][words]) + p["b"][words, 0] - off)
+        pull = -found
+        pull[0] += 1
+        d_ahead[here] += np.einsum("jn,jnd->nd", pull, p["q"][words])
+        moves = [("qc", at, grad), ("bc", at, bias), ("r", np.concatenate([one, two]) % len(p["r"]), np.concatenate([d_ahead @ p["m1"].T, d_ahead @ p["m2"].T]))]
+        moves += [("m1", np.arange(DIM), r1.T @ d_ahead), ("m2", np.arange(DIM), r2.T @ d_ahead)]
+        if len(here):
+            moves += [("q", words.ravel(), (pull[:, :, None] * both).reshape(-1, DIM)), ("b", words.ravel(), pull.reshape(-1, 1))]
+        for name, rows, g in moves:
+            self._move(name, rows, g.astype(np.float32))
+
+
+def _go_through(vocab, model):
+    """Changes of each table by block, times how often a row was used, with these numbers."""
+
+    def run(batches):
+        vocab_, model_ = vocab.value, model.value
+        own = None
+        for batch in batches:
+            for texts in _portions(texts_of(batch)):
+                own = own or Pass(vocab_, model_, TaskContext.get().partitionId())
+                _, ranks, first = vocab_.codes(texts)
+                own.learn(ranks, *vocab_.before(ranks, first))
+        if own:
+            for name in WordModel.NAMES:
+                for lo in range(0, len(own.used[name]), BLOCK):
+                    used = own.used[name][lo : lo + BLOCK]
+                    rows = lo + np.flatnonzero(used)
+                    if len(rows):
+                        change = (own.model.p[name][rows] - model_.p[name][rows]) * own.used[name][rows][:, None]
+                        yield pa.RecordBatch.from_pydict({"name": [name], "block": [lo], "rows": [rows.astype("<i8").tobytes()], "change": [change.tobytes()], "used": [own.used[name][rows].tobytes()]})
+
+    return run
+
+
+PARTS = "name string, block long, rows binary, change binary, used binary"
+
+
+def _add_up(shapes):
+    def run(batches):
+        sums: dict = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                width = shapes[r["name"]][1]
+                change, used = sums.setdefault((r["name"], r["block"]), (np.zeros((BLOCK, width), np.float32), np.zeros(BLOCK, np.float32)))
+                rows = np.frombuffer(r["rows"], "<i8") - r["block"]
+                change[rows] += np.frombuffer(r["change"], np.float32).reshape(-1, width)
+                used[rows] += np.frombuffer(r["used"], np.float32)
+        for (name, block), (change, used) in sums.items():
+            rows = np.flatnonzero(used)
+            yield pa.RecordBatch.from_pydict({"name": [name], "block": [block], "rows": [(rows + block).astype("<i8").tobytes()], "change": [(change[rows] / used[rows][:, None]).tobytes()], "used": [b""]})
+
+    return run
+
+
+def refined(train: DataFrame, vocab, vocab_: Vocabulary, model: WordModel) -> WordModel:
+    """The model after all training tokens; a row's change is the mean of the tasks', by how often they used it."""
+    spark = train.sparkSession
+    parts = map_arrow(train.select("text"), _go_through(vocab, spark.sparkContext.broadcast(model)), PARTS)
+    summed = map_arrow(parts.repartition("name", "block"), _add_up({k: v.shape for k, v in model.p.items()}), PARTS)
+    out = WordModel.__new__(WordModel)
+    out.p = {k: v.copy() for k, v in model.p.items()}
+    for r in summed.toArrow().to_pylist():
+        table = out.p[r["name"]]
+        table[np.frombuffer(r["rows"], "<i8")] += np.frombuffer(r["change"], np.float32).reshape(-1, table.shape[1])
+    return out
+
+
+def _score(vocab, words_model):
     def run(batches):
-        vocab_, table_ = vocab.value, table.value
+        vocab_, model_ = vocab.value, words_model.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             per_doc, tail_words, tail_counts, tail_sizes = [], [], [], []
             for texts in _portions(texts_of(batch)):
                 words, ranks, first = vocab_.codes(texts)
-                context, cls = vocab_.contexts(ranks, first)
+                one, two = vocab_.before(ranks, first)
+                own = np.concatenate([model_.log_probabilities(vocab_, *(x[s : s + 32768] for x in (ranks, one, two))) for s in range(0, len(ranks), 32768)])
                 here = ranks >= 0
                 logs = np.where(here, vocab_.log_count[ranks], 0.0)
-                other = cls == CLASSES - 1
+                other = ~here
                 known = here & (vocab_.counts[ranks] > 0)
-                sums = [np.add.reduceat(x, first) for x in (logs, np.where(other, logs, 0.0), table_[context, cls].astype(np.float64), known.astype(np.int64), other.astype(np.int64))]
+                sums = [np.add.reduceat(x, first) for x in (logs, np.where(other, logs, 0.0), own, known.astype(np.int64), other.astype(np.int64))]
                 per_doc.append(np.array([*sums, np.diff(np.append(first, len(ranks)))]))
                 missing = np.split(np.flatnonzero(~here), np.searchsorted(np.flatnonzero(~here), first[1:]))
                 for k, at in enumerate(missing):
@@ -253,9 +416,9 @@ def score(docs: DataFrame) -> DataFrame:
     trigrams = map_arrow(train.select("text"), _count_trigrams(sent), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     order = np.argsort(keys := trigrams.column(0).to_numpy())
     model = LogBilinear(keys[order], trigrams.column(1).to_numpy()[order])
-    table = spark.sparkContext.broadcast(model.log_probabilities())
+    model = refined(train, sent, vocab, WordModel(vocab, model))
     schema = "row long, doc_id long, held_out boolean, n_tokens long, own_known long, own_base double, own_score double, tail array<struct<word:binary,m:long>>"
-    scored = settle(map_arrow(rows, _score(sent, table), schema), "scored", "zstd")
+    scored = settle(map_arrow(rows, _score(sent, spark.sparkContext.broadcast(model)), schema), "scored", "zstd")
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.m")
     rare = counts.where(F.col("bin") < lowest).select("word", "n")
     found = tail.join(rare, "word", "left").groupBy("row").agg(

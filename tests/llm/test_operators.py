@@ -306,6 +306,24 @@ def test_lm(docs, texts, monkeypatch, head):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_scores_every_word_after_every_word(spark):
+    """600 equally frequent words: all are scored by the model, it sums to one, and it knows which word follows which."""
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{x} v{x}" for x in (rng.randrange(300) for _ in range(200)))
+    rows = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string").repartition(2)
+    counts = lm.word_counts(rows)
+    vocab, _ = lm.vocabulary(counts)
+    trigrams = lm.map_arrow(rows, lm._count_trigrams(spark.sparkContext.broadcast(vocab)), "key long, n long").groupBy("key").agg(F.sum("n")).toPandas().sort_values("key")
+    start = lm.WordModel(vocab, lm.LogBilinear(trigrams.iloc[:, 0].to_numpy(), trigrams.iloc[:, 1].to_numpy()))
+    model = lm.refined(rows, spark.sparkContext.broadcast(vocab), vocab, start)
+    assert len(vocab.rank) == 601 and set(vocab.class_of[:-1]) == set(range(lm.CLASSES - 1))
+    after = lambda m, w: m.log_probabilities(vocab, np.append(np.arange(601), -1), np.full(602, vocab.rank[w]), np.full(602, 0))
+    for w in (b"w3", b"w250"):
+        assert abs((10.0 ** after(model, w)).sum() - 1) < 1e-3
+    gain = [after(model, b"w%d" % x)[vocab.rank[b"v%d" % x]] - after(start, b"w%d" % x)[vocab.rank[b"v%d" % x]] for x in range(0, 300, 10)]
+    assert np.mean(gain) > 0.3
+
+
 def test_lm_odd(odd):
     model = lm.LogBilinear(np.array([5, 300, 70000]), np.array([3, 2, 1]))
     assert np.allclose((10.0 ** model.log_probabilities()).sum(axis=1), 1, atol=1e-4)
