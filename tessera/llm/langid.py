@@ -16,7 +16,7 @@ from .common import id_text, map_arrow, texts_of
 
 FOLDS, ORDERS, SLOT_BITS, HASHES = 5, (2, 3, 4), 20, 2
 SAMPLE_DOCS = 800  # about so many documents of each language are learnt from, chosen by a hash of doc_id
-MIN_COUNT, SHARE, MAX_LANGUAGES, CHUNK = 3, 0.3, 64, 1 << 20
+MIN_COUNT, SHARE, PLANE, CHUNK = 3, 0.3, 64, 1 << 20  # PLANE languages share a 64-bit mask
 UNKNOWN = "und"
 
 
@@ -79,24 +79,30 @@ class Filters:
 
     def __init__(self, languages: list[str], members: list[np.ndarray]):
         self.languages = languages
-        width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= len(languages))
-        self.table = np.zeros(1 << SLOT_BITS, width)
-        for bit, ids in enumerate(members):
-            for at in _slots(ids):
-                self.table[at] |= width(1 << bit)
-        fill = np.array([((self.table >> width(b)) & width(1)).mean() for b in range(len(languages))])
-        self.false_positive = fill**HASHES
+        self.tables, fill = [], []
+        for begin in range(0, len(languages), PLANE):
+            own = members[begin : begin + PLANE]
+            width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= len(own))
+            table = np.zeros(1 << SLOT_BITS, width)
+            for bit, ids in enumerate(own):
+                for at in _slots(ids):
+                    table[at] |= width(1 << bit)
+            fill += [((table >> width(b)) & width(1)).mean() for b in range(len(own))]
+            self.tables.append(table)
+        self.false_positive = np.array(fill) ** HASHES
 
     def hits(self, text: str) -> tuple[np.ndarray, int]:
         letters, count, total = _letters(text), np.zeros(len(self.languages)), 0
-        bits = np.arange(len(self.languages))
         for ids in _grams(letters):
             first, *rest = _slots(ids)
-            mask = self.table[first]
-            for at in rest:
-                mask &= self.table[at]
-            values, n = (np.arange(256), np.bincount(mask, minlength=256)) if mask.dtype == np.uint8 else np.unique(mask, return_counts=True)
-            count += n @ ((values[:, None].astype(np.uint64) >> bits.astype(np.uint64)) & np.uint64(1)).astype(np.float64)
+            for plane, table in enumerate(self.tables):
+                mask = table[first]
+                for at in rest:
+                    mask &= table[at]
+                own = count[plane * PLANE : (plane + 1) * PLANE]
+                bits = np.arange(len(own), dtype=np.uint64)
+                values, n = (np.arange(256), np.bincount(mask, minlength=256)) if mask.dtype == np.uint8 else np.unique(mask, return_counts=True)
+                own += n @ ((values[:, None].astype(np.uint64) >> bits) & np.uint64(1)).astype(np.float64)
             total += len(ids)
         return count, total
 
@@ -137,23 +143,23 @@ def learn(docs: DataFrame, lang_col: str = "lang", sample_docs: int = SAMPLE_DOC
     """Filters from the documents outside the held-out fold that have a text and a language.
 
     An n-gram belongs to a language if its share of that language's n-grams is at least SHARE of its largest share
-    in any. Bounds: about sample_docs documents of each language, MAX_LANGUAGES languages.
+    in any. Bound: about sample_docs documents of each language.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     base = base.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold_of() != 0))
-    sizes = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not sizes:
         return Filters([], [])
     scale = 1 << 30
-    bound = F.coalesce(*[F.when(F.col("lang") == lang, min(scale, sample_docs * scale // n)) for lang, n in sizes.items()])
-    sample = base.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < bound)
+    bounds = base.sparkSession.createDataFrame([(lang, min(scale, sample_docs * scale // n)) for lang, n in sizes.items()], "lang string, bound long")
+    bound = F.col("bound")
+    sample = base.join(F.broadcast(bounds), "lang").select("doc_id", "text", "lang", "bound").where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < bound)
     counted = map_arrow(sample, _count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
     rows = counted.toArrow()
     lang, gram, n = (rows.column(k).to_numpy() for k in range(3))
     languages = [x for x in sizes]
-    code = np.array([languages.index(x) for x in lang], np.int64) if len(lang) else np.empty(0, np.int64)
+    number = {x: k for k, x in enumerate(languages)}
+    code = np.array([number[x] for x in lang], np.int64) if len(lang) else np.empty(0, np.int64)
     ids, at = np.unique(gram.astype(np.int64), return_inverse=True)
     share = np.zeros((len(languages), len(ids)))
     share[code, at] = n

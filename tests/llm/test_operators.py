@@ -285,6 +285,17 @@ def test_langid(docs, odd, spark):
     assert langid.keep_identified(odd, filters).count() == len(ROWS) - 3 and langid.identify(odd, langid.Filters([], [])).where("lang_pred = 'und'").count() == len(ROWS)
 
 
+def test_langid_has_any_number_of_languages(spark):
+    rng = random.Random(2)
+    own = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(4)] for _ in range(70)]
+    rows = [(70 * j + k, " ".join(rng.choice(own[k]) for _ in range(30)), f"l{k:02}") for k in range(70) for j in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.learn(df)
+    assert len(filters.languages) == 70 and len(filters.tables) == 2
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, filters).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
 @pytest.mark.parametrize("head", [1 << 17, 200])
 def test_lm(docs, texts, monkeypatch, head):
     import math
