@@ -193,12 +193,12 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
 def _keep(filters: Filters):
     def run(batches):
         for batch in batches:
-            mask = pa.array([filters.predict(t)[0] != UNKNOWN for t in texts_of(batch)], pa.bool_())
+            mask = pa.array([filters.predict(t)[1] > 0 for t in texts_of(batch)], pa.bool_())
             yield batch.filter(mask)
 
     return run
 
 
 def keep_identified(docs: DataFrame, filters: Filters) -> DataFrame:
-    """The rows of docs, all columns, whose language can be told; the others (`und`) go."""
-    return map_arrow(docs, _keep(filters), docs.schema) if filters.languages else docs
+    """The rows of docs, all columns, whose language can be told; the others (`und`, or no n-gram known) go."""
+    return map_arrow(docs, _keep(filters), docs.schema)

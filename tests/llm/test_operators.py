@@ -285,6 +285,13 @@ def test_langid(docs, odd, spark):
     assert langid.keep_identified(odd, filters).count() == len(ROWS) - 3 and langid.identify(odd, langid.Filters([], [])).where("lang_pred = 'und'").count() == len(ROWS)
 
 
+def test_language_decides_who_stays(docs, spark):
+    filters = langid.learn(docs)
+    rows = spark.createDataFrame([(1, "the text of the house"), (2, "ᚠᚢᚦᚨᚱᚲ ᚷᚹᚺᚾ"), (3, "12 + 5")], "doc_id long, text string")
+    assert [r["doc_id"] for r in langid.keep_identified(rows, filters).collect()] == [1]
+    assert langid.keep_identified(rows, langid.Filters([], [])).count() == 0
+
+
 def test_langid_has_any_number_of_languages(spark):
     rng = random.Random(2)
     own = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(4)] for _ in range(70)]
