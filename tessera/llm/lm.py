@@ -1,11 +1,12 @@
-"""Log-bilinear language model, factored into class and word, trained with noise-contrastive estimation.
+"""Log-bilinear language model over a tree of words, trained with noise-contrastive estimation.
 
 Counts of all training tokens are made on the cluster. Every word of the vocabulary (the HEAD most frequent ones)
-belongs to a class of neighbours in frequency; one more class holds all other words. P(word) is P(class | two words
-before) times P(word | class, two words before), both log-bilinear with a vector for every word; in the last class a
-word has its smoothed share. A model of classes alone, fitted to the counts of all class trigrams, gives the start.
-Then all training tokens are gone through once, in the tasks, with noise-contrastive estimation, and the tasks'
-changes are averaged: the steps grow with the corpus. Scores are normalised over the classes and in the class.
+belongs to a class of neighbours in frequency, and every class to a branch; one more class holds all other words.
+P(word) is P(branch) times P(class | branch) times P(word | class), each log-bilinear in the two words before, with
+a vector for every branch, class and word; in the last class a word has its smoothed share. All training tokens are
+gone through once, in the tasks, with noise-contrastive estimation in numpy. Documents are dealt to rounds by a
+hash; after a round the tasks' changes are averaged and the next one goes on from there, so the steps grow with the
+corpus. Scores are batched matrix products, normalised on each of the three levels.
 
 Counts of frequent words go to the tasks as a bounded table; tokens outside it meet their counts in a join.
 """
@@ -24,13 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, settle, texts_of
 
-FOLDS, CLASSES, DIM = 10, 128, 24
+FOLDS, BRANCHES, DIM = 10, 32, 16
+CLASSES = BRANCHES * 32
 HEAD = 1 << 17  # at most so many counted words are sent to the tasks
 END = b" "  # the end token; no word has a space
-STEPS, BATCH, NOISE, RATE, SEED = 400, 8192, 64, 0.02, 5
 FLUSH = 300_000
-PORTION = 1 << 18
-PASS_BATCH, PASS_NOISE, PASS_RATE = 1024, 4, 0.1  # of the pass over the tokens; noise words a token, in its class
+PORTION, STRETCH = 1 << 20, 1 << 18  # characters and tokens at a time
+ROUNDS = (1, 3)  # parts of the training documents that the rounds take
+BATCH, NOISE, RATE, SEED = 16384, 2, 0.15, 5  # noise outcomes a token and level
 BLOCK = 4096  # rows of a table that travel together
 
 
@@ -84,10 +86,17 @@ class Vocabulary:
         before = (np.cumsum(weight) - weight) / weight.sum()
         self.class_of = np.append((before * (CLASSES - 1)).astype(np.int64), CLASSES - 1)  # the last entry: any other word
         self.edge = np.searchsorted(self.class_of[:-1], np.arange(CLASSES))  # class k has the ranks edge[k] to edge[k + 1] - 1
-        smooth = self.counts + 0.1
-        self.share = smooth / np.add.reduceat(smooth, np.unique(self.edge[:-1][np.diff(self.edge) > 0]))[np.unique(self.class_of[:-1], return_inverse=True)[1]]
         self.rest_tokens = tokens - int(self.counts.sum())
         self.rest_distinct = distinct - int((self.counts > 0).sum())
+        mass = np.bincount(self.class_of[:-1], self.counts + 0.1, CLASSES) + 0.1
+        mass[-1] += max(0, self.rest_tokens)
+        size = CLASSES // BRANCHES
+        #: level -> (first member of each group, mass of each member): branches, classes by branch, words by class
+        self.levels = {
+            "qs": (np.array([0, BRANCHES]), mass.reshape(BRANCHES, size).sum(axis=1)),
+            "qc": (np.arange(BRANCHES + 1) * size, mass),
+            "q": (np.append(self.edge[:-1], [len(self.counts)] * 2), self.counts + 0.1),
+        }
 
     @property
     def log_total(self) -> float:
@@ -105,10 +114,17 @@ class Vocabulary:
         ranks = np.fromiter(map(self.rank.get, flat, repeat(-1)), np.int64, len(flat))
         return words, ranks, np.cumsum(sizes) - sizes
 
-    def contexts(self, ranks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class context and class of every token."""
-        one, two = self.before(ranks, first)
-        return self.class_of[two] * CLASSES + self.class_of[one], self.class_of[ranks]
+    def share(self, level: str) -> np.ndarray:
+        """Share of each member in its group's mass."""
+        edge, mass = self.levels[level]
+        group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+        return mass / np.bincount(group, mass, len(edge) - 1)[group]
+
+    def paths(self, ranks: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """level -> (group, member) of tokens sorted by class; the words of the last class, at the end, have no third level."""
+        cls = self.class_of[ranks]
+        branch, inner = cls // (CLASSES // BRANCHES), int(np.searchsorted(cls, CLASSES - 1))
+        return {"qs": (np.zeros_like(branch), branch), "qc": (branch, cls), "q": (cls[:inner], ranks[:inner])}
 
     def before(self, ranks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of the last and second last token before each (-1: not here); before a text stand two ends."""
@@ -146,167 +162,140 @@ def _portions(texts: list[str]):
         yield texts[begin:]
 
 
-def _count_trigrams(vocab):
-    def run(batches):
-        vocab_ = vocab.value
-        for batch in batches:
-            keys = []
-            for texts in _portions(texts_of(batch)):
-                _, ranks, first = vocab_.codes(texts)
-                context, cls = vocab_.contexts(ranks, first)
-                keys.append(np.unique(context * CLASSES + cls, return_counts=True))
-            if keys:
-                key, at = np.unique(np.concatenate([k for k, _ in keys]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([c for _, c in keys])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct indices, the sums of their rows, and how often each occurs."""
+    order = np.argsort(at)
+    own, begin = np.unique(at[order], return_index=True)
+    return own, np.add.reduceat(rows.take(order, axis=0), begin, axis=0), np.diff(np.append(begin, len(at)))
 
-    return run
 
+def _log_softmax_at(ahead: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Natural log of the softmax of each row of ahead @ table.T at one column."""
+    score = ahead @ table.T
+    own = score[np.arange(len(at)), at].astype(np.float64)
+    np.exp(score, out=score)
+    total = score @ np.ones(len(table), np.float32)
+    if not (np.isfinite(total) & (total > 0)).all():  # beyond the range of float32
+        score = ahead @ table.T
+        most = score.max(axis=1, keepdims=True)
+        total, own = np.exp(score - most).sum(axis=1), own - most[:, 0]
+    return own - np.log(total)
 
-class LogBilinear:
-    """Scores of a class after two classes: (m1 * r[w1] + m2 * r[w2]) . q[w] + b[w], with full matrices m1, m2."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        rng = np.random.default_rng(SEED)
-        total = max(1, int(counts.sum()))
-        unigram = np.bincount(keys % CLASSES, counts, CLASSES) + 0.5
-        self.noise = unigram / unigram.sum()
-        shape = {"r": (CLASSES, DIM), "q": (CLASSES, DIM), "m1": (DIM, DIM), "m2": (DIM, DIM)}
-        self.p = {k: rng.normal(0, 0.1, s) for k, s in shape.items()}
-        self.p["m1"] += np.eye(DIM)
-        self.p["m2"] += np.eye(DIM) * 0.5
-        self.p["b"] = np.log(self.noise)
-        mean, square = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        cumulated = np.cumsum(counts) / total
-        for step in range(1, STEPS + 1 if len(keys) else 1):
-            at = np.searchsorted(cumulated, rng.random(BATCH), "right").clip(max=len(keys) - 1)
-            grad = self._gradient(keys[at], rng.choice(CLASSES, NOISE, p=self.noise))
-            rate = RATE * (1 - step / (STEPS + 1))
-            for k, g in grad.items():
-                mean[k] += 0.1 * (g - mean[k])
-                square[k] += 0.01 * (g * g - square[k])
-                self.p[k] += rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
-
-    def _gradient(self, keys: np.ndarray, noise: np.ndarray) -> dict[str, np.ndarray]:
-        """Ascent direction of the contrastive objective: data tokens against NOISE shared noise tokens."""
-        p, n = self.p, len(keys)
-        w, one, two = keys % CLASSES, keys // CLASSES % CLASSES, keys // CLASSES**2
-        r1, r2 = p["r"][one], p["r"][two]
-        ahead = r1 @ p["m1"] + r2 @ p["m2"]
-        offset = np.log(NOISE * self.noise)
-        data = 1 / (1 + np.exp(np.einsum("nd,nd->n", ahead, p["q"][w]) + p["b"][w] - offset[w]))
-        fake = -1 / (1 + np.exp(-(ahead @ p["q"][noise].T + p["b"][noise] - offset[noise])))
-        d_ahead = data[:, None] * p["q"][w] + fake @ p["q"][noise]
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
-        np.add.at(grad["q"], w, data[:, None] * ahead)
-        np.add.at(grad["q"], noise, fake.T @ ahead)
-        grad["b"] += np.bincount(w, data, CLASSES) + np.bincount(noise, fake.sum(axis=0), CLASSES)
-        grad["m1"], grad["m2"] = r1.T @ d_ahead, r2.T @ d_ahead
-        np.add.at(grad["r"], one, d_ahead @ p["m1"].T)
-        np.add.at(grad["r"], two, d_ahead @ p["m2"].T)
-        return {k: g / n for k, g in grad.items()}
-
-    def log_probabilities(self) -> np.ndarray:
-        """log10 P(class | context), contexts x classes, normalised."""
-        one, two = self.p["r"] @ self.p["m1"], self.p["r"] @ self.p["m2"]
-        ahead = (two[:, None, :] + one[None, :, :]).reshape(-1, DIM)
-        score = ahead @ self.p["q"].T + self.p["b"]
-        score -= score.max(axis=1, keepdims=True)
-        return ((score - np.log(np.exp(score).sum(axis=1, keepdims=True))) / math.log(10)).astype(np.float32)
-
-
-def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct indices and the sums of their rows."""
-    order = np.argsort(at, kind="stable")
-    own, begin = np.unique(at[order], return_index=True)
-    return own, np.add.reduceat(rows[order], begin, axis=0)
 
+class LogBilinear:
+    """Tables r (context; the last row is any other word), q (word in its class), qc (class in its branch), qs (branch), m1 and m2 (one and two words before).
 
-class WordModel:
-    """Tables r (context), q with bias b (word in its class), qc with bias bc (class), and m1, m2; row -1 of r is any other word."""
+    The score of a member of a group is (r[one] @ m1 + r[two] @ m2) . q plus a bias, q's last column.
+    """
 
-    NAMES = ("r", "q", "b", "qc", "bc", "m1", "m2")
+    NAMES = ("r", "q", "qc", "qs", "m1", "m2")
 
-    def __init__(self, vocab: Vocabulary, start: LogBilinear):
-        rng, p = np.random.default_rng(SEED), start.p
-        tables = {
-            "r": p["r"][vocab.class_of], "q": rng.normal(0, 0.1, (len(vocab.counts), DIM)), "b": np.log(vocab.share)[:, None],
-            "qc": p["q"], "bc": p["b"][:, None], "m1": p["m1"], "m2": p["m2"],
-        }
+    def __init__(self, vocab: Vocabulary):
+        rng = np.random.default_rng(SEED)
+        tables = {"r": rng.normal(0, 0.3, (len(vocab.counts) + 1, DIM)), "m1": np.eye(DIM), "m2": np.eye(DIM) / 2}
+        for name, (_, mass) in vocab.levels.items():
+            tables[name] = np.concatenate([rng.normal(0, 0.02, (len(mass), DIM)), np.log(vocab.share(name))[:, None]], axis=1)
         self.p = {k: v.astype(np.float32) for k, v in tables.items()}
 
-    def ahead(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.p["r"][one] @ self.p["m1"] + self.p["r"][two] @ self.p["m2"]
+    def copy(self) -> "LogBilinear":
+        out = LogBilinear.__new__(LogBilinear)
+        out.p = {k: v.copy() for k, v in self.p.items()}
+        return out
+
+    def ahead(self, r1: np.ndarray, r2: np.ndarray) -> np.ndarray:
+        """What the contexts expect, with a one for the bias."""
+        out = np.ones((len(r1), DIM + 1), np.float32)
+        out[:, :DIM] = r1 @ self.p["m1"] + r2 @ self.p["m2"]
+        return out
 
     def log_probabilities(self, vocab: Vocabulary, ranks: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """log10 P(word | context), of the class alone for words not here; sums to one over classes and in each class."""
-        p, cls, ahead = self.p, vocab.class_of[ranks], self.ahead(one, two)
-        score = ahead @ p["qc"].T + p["bc"][:, 0]
-        score -= score.max(axis=1, keepdims=True)
-        out = (score[np.arange(len(cls)), cls] - np.log(np.exp(score).sum(axis=1))).astype(np.float64)
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES - 1):
-            lo, hi = vocab.edge[k], vocab.edge[k + 1]
-            for s in range(ends[k], ends[k + 1] if hi - lo > 1 else ends[k], 4096):
-                at = order[s : min(s + 4096, ends[k + 1])]
-                score = ahead[at] @ p["q"][lo:hi].T + p["b"][lo:hi, 0]
-                score -= score.max(axis=1, keepdims=True)
-                out[at] += score[np.arange(len(at)), ranks[at] - lo] - np.log(np.exp(score).sum(axis=1))
-        return out / math.log(10)
+        """log10 P(word | context), of the class alone for words not here; sums to one over the tree."""
+        order = np.argsort(vocab.class_of[ranks].astype(np.uint16), kind="stable")
+        ranks = ranks[order]
+        ahead = self.ahead(self.p["r"].take(one[order], axis=0), self.p["r"].take(two[order], axis=0))
+        logs = np.zeros(len(order))
+        for name, (group, member) in vocab.paths(ranks).items():
+            edge, table = vocab.levels[name][0], self.p[name]
+            begin = np.flatnonzero(np.diff(group, prepend=-1)) if len(group) else []
+            for s, e in zip(begin, [*begin[1:], len(group)]):
+                lo, hi = edge[group[s]], edge[group[s] + 1]
+                for s in range(s, e if hi - lo > 1 else s, 4096):
+                    own = slice(s, min(s + 4096, e))
+                    logs[own] += _log_softmax_at(ahead[own], table[lo:hi], member[own] - lo)
+        out = np.empty(len(order))
+        out[order] = logs / math.log(10)
+        return out
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Pass:
     """One task's way through its tokens: AdaGrad from the given model."""
 
-    def __init__(self, vocab: Vocabulary, model: WordModel, seed: int):
-        self.vocab, self.rng = vocab, np.random.default_rng([SEED, seed])
-        self.model = WordModel.__new__(WordModel)
-        self.model.p = {k: v.copy() for k, v in model.p.items()}
+    def __init__(self, vocab: Vocabulary, model: LogBilinear, seed: int):
+        self.vocab, self.model, self.rng = vocab, model.copy(), np.random.default_rng([SEED, seed])
         self.square = {k: np.ones((len(v), 1), np.float32) for k, v in model.p.items()}
         self.used = {k: np.zeros(len(v), np.float32) for k, v in model.p.items()}
-        self.cumulated = np.concatenate([[0.0], np.cumsum(vocab.counts + 0.1)])
-        self.class_noise = np.exp(model.p["bc"][:, 0].astype(np.float64))
-        self.class_noise /= self.class_noise.sum()
+        self.cumulated = {k: np.concatenate([[0.0], np.cumsum(mass)]) for k, (_, mass) in vocab.levels.items()}
+        self.offset = {k: np.log(NOISE * vocab.share(k)).astype(np.float32) for k in vocab.levels}
 
-    def _move(self, name: str, at: np.ndarray, grad: np.ndarray, used: np.ndarray | None = None) -> None:
-        own, total = _sum_rows(at, grad)
-        self.square[name][own] += np.square(total).mean(axis=1, keepdims=True)
-        self.model.p[name][own] += PASS_RATE * total / np.sqrt(self.square[name][own])
-        np.add.at(self.used[name], at, 1.0)
+    def _move(self, name: str, own: np.ndarray, total: np.ndarray, times) -> None:
+        square = self.square[name].take(own, axis=0) + np.square(total).mean(axis=1, keepdims=True)
+        self.square[name][own] = square
+        self.model.p[name][own] = self.model.p[name].take(own, axis=0) + total * (RATE / np.sqrt(square))
+        self.used[name][own] += times
 
     def learn(self, ranks: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        for s in range(0, len(ranks), PASS_BATCH):
-            self._step(ranks[s : s + PASS_BATCH], one[s : s + PASS_BATCH], two[s : s + PASS_BATCH])
+        for s in range(0, len(ranks), BATCH):
+            order = s + self.rng.permutation(min(BATCH, len(ranks) - s))
+            order = order[np.argsort(self.vocab.class_of[ranks[order]].astype(np.uint16), kind="stable")]
+            self._step(ranks[order], one[order], two[order])
 
     def _step(self, ranks, one, two) -> None:
-        p, vocab = self.model.p, self.vocab
-        cls, r1, r2 = vocab.class_of[ranks], p["r"][one], p["r"][two]
-        ahead = r1 @ p["m1"] + r2 @ p["m2"]
-        logit = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        noise = self.rng.choice(CLASSES, NOISE, p=self.class_noise)
-        offset = np.log(NOISE * self.class_noise).astype(np.float32)
-        good = 1 - logit(np.einsum("nd,nd->n", ahead, p["qc"][cls]) + p["bc"][cls, 0] - offset[cls])
-        bad = -logit(ahead @ p["qc"][noise].T + p["bc"][noise, 0] - offset[noise])
-        d_ahead = good[:, None] * p["qc"][cls] + bad @ p["qc"][noise]
-        at, grad = np.concatenate([cls, noise]), np.concatenate([good[:, None] * ahead, bad.T @ ahead])
-        bias = np.concatenate([good, bad.sum(axis=0)])[:, None]
-        here = np.flatnonzero((ranks >= 0) & (np.diff(vocab.edge)[np.minimum(cls, CLASSES - 2)] > 1))
-        w, lo, hi = ranks[here], vocab.edge[cls[here]], vocab.edge[np.minimum(cls[here] + 1, CLASSES - 1)]
-        draw = self.cumulated[lo] + self.rng.random((PASS_NOISE, len(here))) * (self.cumulated[hi] - self.cumulated[lo])
-        fake = np.clip(np.searchsorted(self.cumulated, draw, "right") - 1, lo, hi - 1)
-        words, both = np.concatenate([w[None], fake]), ahead[here]
-        off = np.log(PASS_NOISE * vocab.share[words]).astype(np.float32)
-        found = logit(np.einsum("nd,jnd->jn", both, p["q"][words]) + p["b"][words, 0] - off)
-        pull = -found
-        pull[0] += 1
-        d_ahead[here] += np.einsum("jn,jnd->nd", pull, p["q"][words])
-        moves = [("qc", at, grad), ("bc", at, bias), ("r", np.concatenate([one, two]) % len(p["r"]), np.concatenate([d_ahead @ p["m1"].T, d_ahead @ p["m2"].T]))]
-        moves += [("m1", np.arange(DIM), r1.T @ d_ahead), ("m2", np.arange(DIM), r2.T @ d_ahead)]
-        if len(here):
-            moves += [("q", words.ravel(), (pull[:, :, None] * both).reshape(-1, DIM)), ("b", words.ravel(), pull.reshape(-1, 1))]
-        for name, rows, g in moves:
-            self._move(name, rows, g.astype(np.float32))
+        """One step on tokens sorted by class, so that every level's groups are runs."""
+        p, n = self.model.p, len(ranks)
+        r1, r2 = p["r"].take(one, axis=0), p["r"].take(two, axis=0)
+        ahead = self.model.ahead(r1, r2)
+        back, moves = np.zeros_like(ahead), []
+        for name, (group, member) in self.vocab.paths(ranks).items():
+            if len(group):
+                back[: len(group)] += self._contrast(name, ahead[: len(group)], group, member, moves)
+        back = back[:, :DIM]
+        moves.append(("r", np.concatenate([one, two]) % len(p["r"]), np.concatenate([back @ p["m1"].T, back @ p["m2"].T])))
+        for name, rows in (("m1", r1), ("m2", r2)):
+            self._move(name, np.arange(DIM), rows.T @ back, n)
+        for name, at, grad in moves:
+            self._move(name, *_sum_rows(at, grad))
+
+    def _contrast(self, name, ahead, group, member, moves) -> np.ndarray:
+        """Members against noise of their group: adds the table's gradient to moves, returns the one of ahead.
+
+        Each token draws one member of its group by its share and meets those of the NOISE - 1 tokens after it as
+        well, in a circle inside the group, so noise costs one look-up a token.
+        """
+        (edge, _), table, cumulated, offset = self.vocab.levels[name], self.model.p[name], self.cumulated[name], self.offset[name]
+        n, lo, hi = len(group), edge[group], edge[group + 1]
+        draw = cumulated[lo] + self.rng.random(n) * (cumulated[hi] - cumulated[lo])
+        fake = np.clip(np.searchsorted(cumulated, draw, "right") - 1, lo, hi - 1)
+        good, bad, off = table.take(member, axis=0), table.take(fake, axis=0), offset[fake]
+        pull = (1 - _logistic(np.einsum("nd,nd->n", ahead, good) - offset[member]))[:, None]
+        push = -_logistic(np.einsum("nd,nd->n", ahead, bad) - off)[:, None]
+        back, grad = pull * good + push * bad, push * ahead
+        if NOISE > 1:
+            first = np.searchsorted(group, group)
+            last = np.searchsorted(group, group, "right")
+            at = np.arange(n)
+        for _ in range(1, NOISE):
+            at = at + 1
+            at = np.where(at == last, first, at)  # a permutation
+            other = bad.take(at, axis=0)
+            push = -_logistic(np.einsum("nd,nd->n", ahead, other) - off[at])[:, None]
+            back += push * other
+            grad[at] = grad.take(at, axis=0) + push * ahead
+        moves.append((name, np.concatenate([member, fake]), np.concatenate([pull * ahead, grad])))
+        return back
 
 
 def _go_through(vocab, model):
@@ -321,7 +310,7 @@ def _go_through(vocab, model):
                 _, ranks, first = vocab_.codes(texts)
                 own.learn(ranks, *vocab_.before(ranks, first))
         if own:
-            for name in WordModel.NAMES:
+            for name in LogBilinear.NAMES:
                 for lo in range(0, len(own.used[name]), BLOCK):
                     used = own.used[name][lo : lo + BLOCK]
                     rows = lo + np.flatnonzero(used)
@@ -352,17 +341,21 @@ def _add_up(shapes):
     return run
 
 
-def refined(train: DataFrame, vocab, vocab_: Vocabulary, model: WordModel) -> WordModel:
-    """The model after all training tokens; a row's change is the mean of the tasks', by how often they used it."""
-    spark = train.sparkSession
-    parts = map_arrow(train.select("text"), _go_through(vocab, spark.sparkContext.broadcast(model)), PARTS)
-    summed = map_arrow(parts.repartition("name", "block"), _add_up({k: v.shape for k, v in model.p.items()}), PARTS)
-    out = WordModel.__new__(WordModel)
-    out.p = {k: v.copy() for k, v in model.p.items()}
-    for r in summed.toArrow().to_pylist():
-        table = out.p[r["name"]]
-        table[np.frombuffer(r["rows"], "<i8")] += np.frombuffer(r["change"], np.float32).reshape(-1, table.shape[1])
-    return out
+def trained(train: DataFrame, vocab, vocab_: Vocabulary) -> LogBilinear:
+    """The model after all training tokens; in a round, a row's change is the mean of the tasks', by how often they used it."""
+    spark, model, done = train.sparkSession, LogBilinear(vocab_), 0
+    deal = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(sum(ROUNDS)))
+    for parts in ROUNDS:
+        own = train.where((deal >= done) & (deal < done + parts)).select("text")
+        done += parts
+        changes = map_arrow(own, _go_through(vocab, sent := spark.sparkContext.broadcast(model)), PARTS)
+        summed = map_arrow(changes.repartition("name", "block"), _add_up({k: v.shape for k, v in model.p.items()}), PARTS)
+        model = model.copy()
+        for r in summed.toArrow().to_pylist():
+            table = model.p[r["name"]]
+            table[np.frombuffer(r["rows"], "<i8")] += np.frombuffer(r["change"], np.float32).reshape(-1, table.shape[1])
+        sent.unpersist()
+    return model
 
 
 def _score(vocab, words_model):
@@ -374,7 +367,7 @@ def _score(vocab, words_model):
             for texts in _portions(texts_of(batch)):
                 words, ranks, first = vocab_.codes(texts)
                 one, two = vocab_.before(ranks, first)
-                own = np.concatenate([model_.log_probabilities(vocab_, *(x[s : s + 32768] for x in (ranks, one, two))) for s in range(0, len(ranks), 32768)])
+                own = np.concatenate([model_.log_probabilities(vocab_, *(x[s : s + STRETCH] for x in (ranks, one, two))) for s in range(0, len(ranks), STRETCH)])
                 here = ranks >= 0
                 logs = np.where(here, vocab_.log_count[ranks], 0.0)
                 other = ~here
@@ -413,10 +406,7 @@ def score(docs: DataFrame) -> DataFrame:
     counts = word_counts(train)
     vocab, lowest = vocabulary(counts)
     sent = spark.sparkContext.broadcast(vocab)
-    trigrams = map_arrow(train.select("text"), _count_trigrams(sent), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    order = np.argsort(keys := trigrams.column(0).to_numpy())
-    model = LogBilinear(keys[order], trigrams.column(1).to_numpy()[order])
-    model = refined(train, sent, vocab, WordModel(vocab, model))
+    model = trained(train, sent, vocab)
     schema = "row long, doc_id long, held_out boolean, n_tokens long, own_known long, own_base double, own_score double, tail array<struct<word:binary,m:long>>"
     scored = settle(map_arrow(rows, _score(sent, spark.sparkContext.broadcast(model)), schema), "scored", "zstd")
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.m")

@@ -2,9 +2,11 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -305,9 +307,6 @@ def test_langid_has_any_number_of_languages(spark):
 
 @pytest.mark.parametrize("head", [1 << 17, 200])
 def test_lm(docs, texts, monkeypatch, head):
-    import math
-    from collections import Counter
-
     monkeypatch.setattr(lm, "HEAD", head)
     rows = lm.score(docs).collect()
     counts, tokens = Counter(), {i: [*words(t), None] for i, t in texts.items()}
@@ -327,25 +326,63 @@ def test_lm(docs, texts, monkeypatch, head):
 def test_lm_scores_every_word_after_every_word(spark):
     """600 equally frequent words: all are scored by the model, it sums to one, and it knows which word follows which."""
     rng = random.Random(4)
-    text = lambda: " ".join(f"w{x} v{x}" for x in (rng.randrange(300) for _ in range(200)))
-    rows = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string").repartition(2)
-    counts = lm.word_counts(rows)
-    vocab, _ = lm.vocabulary(counts)
-    trigrams = lm.map_arrow(rows, lm._count_trigrams(spark.sparkContext.broadcast(vocab)), "key long, n long").groupBy("key").agg(F.sum("n")).toPandas().sort_values("key")
-    start = lm.WordModel(vocab, lm.LogBilinear(trigrams.iloc[:, 0].to_numpy(), trigrams.iloc[:, 1].to_numpy()))
-    model = lm.refined(rows, spark.sparkContext.broadcast(vocab), vocab, start)
-    assert len(vocab.rank) == 601 and set(vocab.class_of[:-1]) == set(range(lm.CLASSES - 1))
+    text = lambda: " ".join(f"w{x} v{x}" for x in (rng.randrange(300) for _ in range(2000)))
+    rows = spark.createDataFrame([(i, text()) for i in range(400)], "doc_id long, text string").repartition(2)
+    vocab, _ = lm.vocabulary(lm.word_counts(rows))
+    start, model = lm.LogBilinear(vocab), lm.trained(rows, spark.sparkContext.broadcast(vocab), vocab)
+    assert len(vocab.rank) == 601 and set(vocab.class_of[:-1]) <= set(range(lm.CLASSES - 1))
     after = lambda m, w: m.log_probabilities(vocab, np.append(np.arange(601), -1), np.full(602, vocab.rank[w]), np.full(602, 0))
+    empty = [k for k in range(lm.CLASSES - 1) if vocab.edge[k] == vocab.edge[k + 1]]
     for w in (b"w3", b"w250"):
-        assert abs((10.0 ** after(model, w)).sum() - 1) < 1e-3
+        spare = sum(class_probability(vocab, model, k, vocab.rank[w], 0) for k in empty)  # of classes without words
+        assert abs((10.0 ** after(model, w)).sum() + spare - 1) < 1e-3
     gain = [after(model, b"w%d" % x)[vocab.rank[b"v%d" % x]] - after(start, b"w%d" % x)[vocab.rank[b"v%d" % x]] for x in range(0, 300, 10)]
     assert np.mean(gain) > 0.3
 
 
+def class_probability(vocab, model, k, one, two):
+    """By a plain loop: the share of class k among all, through its branch."""
+    p, size = {n: t.astype(float) for n, t in model.p.items()}, lm.CLASSES // lm.BRANCHES
+    ahead = p["r"][one] @ p["m1"] + p["r"][two] @ p["m2"]
+    part = lambda rows, at: math.exp(rows[at, :-1] @ ahead + rows[at, -1]) / sum(math.exp(x[:-1] @ ahead + x[-1]) for x in rows)
+    return part(p["qs"], k // size) * part(p["qc"][k // size * size :][:size], k % size)
+
+
+def test_lm_scores_equal_a_plain_loop(docs, texts, spark):
+    """The score column against a loop over tokens with the same trained tables."""
+    rows = lm.prepared(docs)
+    vocab, _ = lm.vocabulary(lm.word_counts(rows.where("not held_out")))
+    model = lm.trained(rows.where("not held_out"), spark.sparkContext.broadcast(vocab), vocab)
+    sample = sorted(texts, key=lambda i: len(texts[i]))[40:60]
+    for i in sample:
+        ranks = [vocab.rank.get(w.encode(), -1) for w in words(texts[i])] + [0]
+        want, p = 0.0, {n: t.astype(float) for n, t in model.p.items()}
+        for at, rank in enumerate(ranks):
+            one, two = (ranks[at - 1] if at else 0), (ranks[at - 2] if at > 1 else 0)
+            k = vocab.class_of[rank]
+            want += math.log10(class_probability(vocab, model, k, one, two))
+            if rank >= 0:
+                own = p["q"][vocab.edge[k] : vocab.edge[k + 1]]
+                ahead = p["r"][one] @ p["m1"] + p["r"][two] @ p["m2"]
+                s = own[:, :-1] @ ahead + own[:, -1]
+                want += (s[rank - vocab.edge[k]] - math.log(np.exp(s).sum())) / math.log(10)
+            else:
+                want += math.log10(0.1) - vocab.log_rest
+        got, *_ = [sum(model.log_probabilities(vocab, r, *vocab.before(r, f))) + (r < 0).sum() * (math.log10(0.1) - vocab.log_rest) for _, r, f in [vocab.codes([texts[i]])]]
+        assert math.isclose(got, want, rel_tol=1e-4)
+
+
+def test_log_softmax_survives_large_scores():
+    ahead, table = np.array([[100.0, 1.0]], np.float32), np.array([[2.0, 0.0], [1.0, 0.0], [-3.0, 0.0]], np.float32)
+    assert np.allclose([lm._log_softmax_at(ahead, table, np.array([k]))[0] for k in range(3)], [0, -100, -500])
+
+
 def test_lm_odd(odd):
-    model = lm.LogBilinear(np.array([5, 300, 70000]), np.array([3, 2, 1]))
-    assert np.allclose((10.0 ** model.log_probabilities()).sum(axis=1), 1, atol=1e-4)
+    """Empty table, nothing to learn from, repeats, nulls and a very long text."""
     assert lm.score(odd).count() == len(ROWS) and lm.score(odd.limit(0)).count() == 0
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = lm.score(odd.sparkSession.createDataFrame([(i, "a b") for i in held], "doc_id long, text string")).collect()
+    assert {(r["train_tokens"], r["n_known"]) for r in rows} == {(0, 0)} and all(math.isclose(r["base_score"], 0, abs_tol=1e-9) for r in rows)
 
 
 def test_pipeline(spark, docs, texts):
