@@ -209,6 +209,52 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+TEMPLATE = """<html><body><div class=top>Welcome to the site</div><div class=c><h1>Title %d</h1><p>Story %d tells of %s.</p>%s<p>Subscribe to our list today, friends</p><div class=ad>Buy %d</div>
+<div class="comments"><p>I like %d</div></div><div>All rights</div></body></html>"""
+
+
+def template_pages(host, more=lambda k: ""):
+    return [(k, f"http://{host}/{k}", TEMPLATE % (k, k, "many long things " * (k + 3), more(k), k, k)) for k in range(12)]
+
+
+def test_constant_text_goes_and_single_blocks_stay(spark):
+    """The template decides: constant blocks without a telling name go, blocks of one page stay whatever their name."""
+    single = lambda k: "<div class='related-work'>Others found %d</div><div class=notice>Mind the gap</div>" % k if k == 3 else "<p>Seen by all, often</p>" * (k % 3)
+    df = spark.createDataFrame(template_pages("a.b", single), "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in html.extract(df).collect()}
+    for k, blocks in got.items():
+        own = ["Others found 3", "Mind the gap"] if k == 3 else ["Seen by all, often"] * (k % 3)
+        assert blocks == [f"Title {k}", " ".join(f"Story {k} tells of {'many long things ' * (k + 3)}.".split()), *own]
+
+
+def test_shared_text_of_copies_is_no_template(spark):
+    """Pages of a host that hold one and the same article keep it."""
+    page = "<body><nav>%d</nav><article><h1>One</h1><p>the same long article on every page</p></article></body>"
+    df = spark.createDataFrame([(k, "http://a.b/", page % k) for k in range(9)], "page_id long, url string, html string")
+    assert {r["text"] for r in html.extract(df).collect()} == {"One\nthe same long article on every page"}
+
+
+def test_classes_against_plain_vectors(spark):
+    """Classes of equal occurrence vectors, made by hashes on the cluster, equal those of plain vectors."""
+    rows = template_pages("a.b", lambda k: "<ul>" + "<li>x<b>y</b>" * (k % 4) + "</ul>" if k % 2 else "")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(7).cast("long"))
+    (found,) = html.templates(df).collect()
+    vectors = {}
+    for k, (_, _, page) in enumerate(rows):
+        for token, row in html.tokens_of(page)[0].items():
+            vectors.setdefault(token, [0] * len(rows))[k] = row[0]
+    assert found["classes"] and all(len({tuple(vectors[t]) for t in c}) == 1 for c in found["classes"])
+    assert {t for t, v in vectors.items() if v == [1] * 12} == set(found["classes"][0])
+
+
+def test_html_odd_pages():
+    """Quotes as browsers have them, unclosed elements, and nesting in linear time."""
+    assert html.main_text("<p title=it's>Hello</p><a href=\"x>y\" title='>'>b</a>") == "Hello\nb"
+    assert html.main_text("<div>" * 100_000 + "x") == "x" and html.main_text("<ul><li>a<li>b<table><tr><td>c<td>d</table>") == "a\nb\nc\nd"
+    assert len(html.main_text("<body><p>" + "word &amp; " * 200_000)) == len("word & " * 200_000) - 1
+    assert html.deduce([html.Token(k, max(0, k - 1), "div ", 9, 9, 1, 1, 9 * k, 0, -1) for k in range(50_000)], 9)[1] is None
+
+
 def test_html_pages(spark):
     import html as escaping
 
