@@ -30,10 +30,10 @@ CLASSES = BRANCHES * 32
 HEAD = 1 << 17  # at most so many counted words are sent to the tasks
 END = b" "  # the end token; no word has a space
 FLUSH = 300_000
-PORTION, STRETCH = 1 << 20, 1 << 18  # characters and tokens at a time
+PORTION, STRETCH = 1 << 19, 1 << 17  # characters and tokens at a time
 ROUNDS = (1, 3)  # parts of the training documents that the rounds take
 BATCH, NOISE, RATE, SEED = 16384, 2, 0.15, 5  # noise outcomes a token and level
-BLOCK = 4096  # rows of a table that travel together
+BLOCK, SPREAD = 512, 64  # rows of a table that travel together; tasks that add them up
 
 
 def words_of(text: str) -> list[bytes]:
@@ -299,7 +299,7 @@ class Pass:
 
 
 def _go_through(vocab, model):
-    """Changes of each table by block, times how often a row was used, with these numbers."""
+    """Changes of each table by block in half precision, with how often a row was used."""
 
     def run(batches):
         vocab_, model_ = vocab.value, model.value
@@ -311,12 +311,13 @@ def _go_through(vocab, model):
                 own.learn(ranks, *vocab_.before(ranks, first))
         if own:
             for name in LogBilinear.NAMES:
-                for lo in range(0, len(own.used[name]), BLOCK):
-                    used = own.used[name][lo : lo + BLOCK]
-                    rows = lo + np.flatnonzero(used)
-                    if len(rows):
-                        change = (own.model.p[name][rows] - model_.p[name][rows]) * own.used[name][rows][:, None]
-                        yield pa.RecordBatch.from_pydict({"name": [name], "block": [lo], "rows": [rows.astype("<i8").tobytes()], "change": [change.tobytes()], "used": [own.used[name][rows].tobytes()]})
+                rows, table = np.flatnonzero(own.used[name]), own.model.p[name]
+                block = rows // BLOCK * BLOCK
+                first = np.flatnonzero(np.diff(block, prepend=-1))
+                change = (table[rows] - model_.p[name][rows]).astype(np.float16)
+                parts = [np.split(x, first[1:]) for x in (rows.astype("<i8"), change, own.used[name][rows])] if len(rows) else [[], [], []]
+                cols = [pa.array([x.tobytes() for x in part], pa.binary()) for part in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(first), pa.string()), pa.array(block[first]), *cols], ["name", "block", "rows", "change", "used"])
 
     return run
 
@@ -332,8 +333,9 @@ def _add_up(shapes):
                 width = shapes[r["name"]][1]
                 change, used = sums.setdefault((r["name"], r["block"]), (np.zeros((BLOCK, width), np.float32), np.zeros(BLOCK, np.float32)))
                 rows = np.frombuffer(r["rows"], "<i8") - r["block"]
-                change[rows] += np.frombuffer(r["change"], np.float32).reshape(-1, width)
-                used[rows] += np.frombuffer(r["used"], np.float32)
+                times = np.frombuffer(r["used"], np.float32)
+                change[rows] += np.frombuffer(r["change"], np.float16).reshape(-1, width) * times[:, None]
+                used[rows] += times
         for (name, block), (change, used) in sums.items():
             rows = np.flatnonzero(used)
             yield pa.RecordBatch.from_pydict({"name": [name], "block": [block], "rows": [(rows + block).astype("<i8").tobytes()], "change": [(change[rows] / used[rows][:, None]).tobytes()], "used": [b""]})
@@ -349,7 +351,7 @@ def trained(train: DataFrame, vocab, vocab_: Vocabulary) -> LogBilinear:
         own = train.where((deal >= done) & (deal < done + parts)).select("text")
         done += parts
         changes = map_arrow(own, _go_through(vocab, sent := spark.sparkContext.broadcast(model)), PARTS)
-        summed = map_arrow(changes.repartition("name", "block"), _add_up({k: v.shape for k, v in model.p.items()}), PARTS)
+        summed = map_arrow(changes.repartition(SPREAD, "name", "block"), _add_up({k: v.shape for k, v in model.p.items()}), PARTS)
         model = model.copy()
         for r in summed.toArrow().to_pylist():
             table = model.p[r["name"]]
