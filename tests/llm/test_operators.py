@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -113,12 +114,55 @@ def test_field_reads_whole_islands():
     assert found(many) == [("212-555-0199", "phone")] * 400
 
 
+def test_long_runs_take_time_in_proportion():
+    """Runs of digits and dots that make a pattern search quadratic or overflow the conversion of numbers."""
+    field = pii.trained()
+    begin = time.time()
+    for text, n in (("0" * 5000 + "1.1.1.1", 1), ("1" * 1_000_000 + ".", 0), ("1." * 500_000, 125_000), ("a1" * 300_000, 0), ("+1" + " " * 500_000, 0), ("AB12" * 100_000, 0)):
+        assert len(pii.find(text, field)[0]) == n
+    assert time.time() - begin < 20
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choice("0125.. +-@ax") for _ in range(rng.randrange(40)))
+        want = [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) < 256 for p in m.group().split("."))]
+        assert [s[:2] for s in pii.base_spans(text) if s[2] == "ip"] == want
+
+
+def test_no_entity_is_lost_at_any_offset():
+    field = pii.trained()
+    for k in (*range(0, 30), *range(240, 270), *range(505, 520)):
+        text = "1 " * k + "(578) 555-6437"
+        assert [s for s in pii.find(text, field)[1] if text[s[0] : s[1]].endswith("555-6437")], k
+
+
+def test_field_on_examples_it_has_not_seen(spark):
+    """Held-out islands, and the middle table: every planted key is found and nothing in texts without any personal data."""
+    field, right, found, there = pii.trained(), 0, 0, 0
+    for tokens, before, gold in pii._examples(600, seed=77):
+        want, got = {g for g in gold if g[2]}, set(field.decode(tokens, before))
+        right, found, there = right + len(want & got), found + len(got), there + len(want)
+    assert right >= 0.97 * found and right >= 0.9 * there
+    keys = 0
+    for (text,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.coalesce("text", F.lit(""))).collect():
+        base, both = pii.find(text, field)
+        secrets = [m.span(1) for m in re.finditer('(?i)token = "([0-9a-f]{40})"', text)]
+        assert set(secrets) == {s[:2] for s in both if s[2] == "secret"}
+        keys += len(secrets)
+        assert all(s[2] in ("secret", "phone") for s in set(both) - set(base))
+    assert keys
+    found = lambda text: [(text[s:e], k) for s, e, k in pii.find(text, field)[1]]
+    assert found("write to mike at mail dot com now") == [("mike at mail dot com", "email")]
+    assert found("her ssn 078-05-1120 is out") == [("078-05-1120", "id")] and found("iban DE89370400440532013000.") == [("DE89370400440532013000", "id")]
+    assert found("in commit 9fceb02d0ae598e95dc970b74767f19372d61af8 of") == [] and found("look at this dot on the map") == []
+
+
 def test_pii_rows(odd):
     got = pii.find_pii(odd).collect()
     assert len(got) == len(ROWS)
     assert next((r["n_phone"], r["n_email"]) for r in got if r["doc_id"] == 7) == (1, 1)
     clean = {r["doc_id"]: r["text"] for r in pii.redact(odd).collect()}
     assert clean[7] == "call <PHONE> or <EMAIL>" and clean[2] is None and pii.find_pii(odd.limit(0)).count() == 0
+    assert pii.redact(odd.limit(0)).count() == 0 and sum(r["text"] == clean[4] for r in pii.redact(odd).collect()) == 3
 
 
 def check_packing(rows, texts, tokenizer):
