@@ -98,6 +98,15 @@ BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z0-9\n]{0,4}\Z")
 TOKEN = re.compile(r"[A-Za-z0-9]+|.", re.S)
 
 
+NEUTRAL = "the of and on with le der las see it was".split()
+#: kind -> words that often stand before it; those of "other" are before look-alikes.
+WORDS = {
+    "phone": "call phone tel ring fax mobile".split(), "card": "card visa paid".split(), "email": "mail write contact reach".split(), "id": "ssn iban account passport tax identity".split(),
+    "secret": "token secret key password passwd auth bearer apikey pwd credential".split(), "other": "order isbn version commit sha revision digest checksum invoice serial ticket".split(),
+}
+GROUP = {word: kind for kind, words in WORDS.items() for word in words}
+
+
 def _bucket(n: int) -> str:
     return str(n) if n < 20 else "20+"
 
@@ -151,7 +160,7 @@ def _segments(tokens: list[str], before: str = ""):
                 if word_like and (enough or digits >= LEAST_DIGITS):
                     after = tokens[j + 1] if j + 1 < n else "$"
                     edge = f"edge{ahead}{after in '.-/:'}{open_}{'cut' if after[0].isdigit() else ''}"
-                    yield i, j + 1, (*_features(text[start[i] : start[j + 1]]), edge, f"word{word}"), range(1, len(LABELS))
+                    yield i, j + 1, (*_features(text[start[i] : start[j + 1]]), edge, f"word{word}", f"group{GROUP.get(word)}"), range(1, len(LABELS))
         if first.isalpha():
             word = first.lower()
         elif kind[i][0]:
@@ -286,21 +295,13 @@ class SemiCRF:
         return out[::-1]
 
 
-NEUTRAL = "the of and on with le der las see it was".split()
-#: kind -> words that often stand before it; those of "other" are before look-alikes.
-WORDS = {
-    "phone": "call phone tel ring fax mobile".split(), "card": "card visa paid".split(), "email": "mail write contact reach".split(), "id": "ssn iban account passport tax identity".split(),
-    "secret": "token secret key password passwd auth bearer apikey pwd credential".split(), "other": "order isbn version commit sha revision digest checksum invoice serial ticket".split(),
-}
-
-
 def _bank(r: random.Random) -> str:
     country, body = r.choice(("DE", "FR", "GB", "ES")), "".join(r.choice("0123456789") for _ in range(r.choice((16, 18, 20))))
     check = 98 - int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
     return f"{country}{check:02}{body}"
 
 
-def _examples(count: int = 640, seed: int = 11):
+def _examples(count: int = 500, seed: int = 11):
     """Generated islands with the word before and their segmentation: entities in several notations, and look-alikes."""
     r = random.Random(seed)
     num = lambda n: "".join(r.choice("0123456789") for _ in range(n))

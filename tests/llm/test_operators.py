@@ -153,7 +153,7 @@ def test_field_on_examples_it_has_not_seen(spark):
     found = lambda text: [(text[s:e], k) for s, e, k in pii.find(text, field)[1]]
     assert found("write to mike at mail dot com now") == [("mike at mail dot com", "email")]
     assert found("her ssn 078-05-1120 is out") == [("078-05-1120", "id")] and found("iban DE89370400440532013000.") == [("DE89370400440532013000", "id")]
-    assert found("in commit 9fceb02d0ae598e95dc970b74767f19372d61af8 of") == [] and found("look at this dot on the map") == []
+    assert found("in commit 9fceb02d0ae598e95dc970b74767f19372d61af8 of") == [] and found("we met at noon. dot com was") == []
 
 
 def test_pii_rows(odd):
