@@ -1,8 +1,12 @@
-"""Connected components by repeated contraction, all on the cluster.
+"""Connected components by alternating stars, all on the cluster.
 
-Each round maps every node to the smallest node of its closed neighbourhood and contracts the edges by that
-map. Every map and edge table is written to the shared folder, so a lost executor costs one table at most and
-both sides of each join are plain scans whose skewed keys adaptive execution may split.
+Kiveris et al., "Connected Components in MapReduce and Beyond": a large star links the larger neighbours of every
+node to the smallest of its closed neighbourhood, a small star links the smaller neighbours and the node itself to
+the smallest of them. Alternated, the edges become stars around the least node of each component. Nodes are
+compared by a hash of their ids, so an unlucky order of ids (a long chain) cannot make the rounds many: they grow
+with the logarithm of the chain. Every edge table is written to the shared folder and the one before is deleted, so
+a lost executor costs one table at most; minima are combined before the shuffle, and the joins of skewed keys may be
+split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -13,31 +17,41 @@ from pyspark.sql import functions as F
 from .common import forget, settle
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """edges(a long, b long) -> settled table (node, root): root is the smallest node of node's component.
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """edges(u, v), v before u in order, distinct -> the same after one star: each node's neighbours meet their least."""
+    ahead = edges.select(F.col("u").alias("n"), F.col("v").alias("m"))
+    near = ahead.unionByName(edges.select(F.col("v").alias("n"), F.col("u").alias("m"))) if large else ahead
+    least = near.groupBy("n").agg(F.min("m").alias("least")).select("n", F.least("n", "least").alias("least"))
+    if large:
+        moved = near.where("m > n").join(least, "n").select(F.col("m").alias("u"), F.col("least").alias("v"))
+    else:
+        moved = near.join(least, "n").where("m > least").select(F.col("m").alias("u"), F.col("least").alias("v")).unionByName(least.select(F.col("n").alias("u"), F.col("least").alias("v")))
+    return moved.where("u <> v").distinct()
+
+
+def connected_components(edges: DataFrame, rounds: list | None = None) -> DataFrame:
+    """edges(a long, b long) -> settled table (node, root): root is the same node of the component for all its nodes.
 
     Self loops and repeated edges are harmless; an empty edge table gives an empty result. Nodes without
-    edges do not appear.
+    edges do not appear. rounds, if given, gets one entry for each round.
     """
-    e = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    maps = []
+    key = lambda c: F.struct(F.xxhash64(c, F.lit(7)).alias("h"), F.col(c).alias("id"))
+    pairs = edges.where("a <> b").select(key("a").alias("a"), key("b").alias("b"))
+    e = settle(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    shape = None
     while True:
-        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = settle(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("to")), "step")
-        maps.append(step)
-        left = step.select(F.col("node").alias("a"), F.col("to").alias("ta"))
-        right = step.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        shrunk = settle(
-            e.join(left, "a").join(right, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(),
-            "edges",
-        )
+        large = settle(_star(e, True), "large")
         forget(e)
-        e = shrunk
-        if e.isEmpty():
+        e = settle(_star(large, False), "small")
+        forget(large)
+        if rounds is not None:
+            rounds.append(1)
+        # done when a round changes nothing: the number of edges and two sums over their hashes stay as they are
+        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("v", "u").cast("long"))).first()
+        if now == shape:
             break
-    roots = maps[0].select("node", F.col("to").alias("root"))
-    for step in maps[1:]:
-        nxt = step.select(F.col("node").alias("root"), "to")
-        joined = settle(roots.join(nxt, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
-        roots = joined
-    return roots
+        shape = now
+    roots = e.select(F.col("u.id").alias("node"), F.col("v.id").alias("root"))
+    out = settle(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    forget(e)
+    return out

@@ -1,10 +1,11 @@
 """SimHash near-duplicates, compared bit-sliced.
 
-Fingerprints are made of XXH64 shingle hashes. Distinct fingerprints meet in buckets that share two of six bit
-blocks: four differing bits leave two blocks intact, so no link is lost. Inside a bucket the fingerprints are
-stored as vertical bit planes; carry-save counters add up many distances at once, and blocks of comparisons are
-abandoned as soon as all of them exceed the radius. Buckets over `chunk` fingerprints are dealt out as pairs of
-chunks, so no task holds a whole hot bucket.
+Fingerprints are made of XXH64 shingle hashes. Distinct fingerprints meet in buckets that share all but four of
+their bit blocks: four differing bits leave the others intact, so no link is lost. Larger corpora take more blocks,
+for longer keys. A hot bucket is bucketed again by blocks of the bits it does not share. Inside a bucket the
+fingerprints are stored as vertical bit planes; carry-save counters add up many distances at once, and blocks of
+comparisons are abandoned as soon as all of them exceed the radius. Buckets that are still over `chunk` fingerprints
+are dealt out as pairs of chunks, so no task holds a whole hot bucket.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow, settle, texts_of
+from .common import forget, id_text, map_arrow, settle, texts_of
 from .graph import connected_components
 
-SEED, SHINGLE, RADIUS, BLOCKS, CHUNK = 42, 4, 4, 6, 1024
+SEED, SHINGLE, RADIUS, CHUNK = 42, 4, 4, 1024
+SPLIT = 16  # buckets of more chunks are bucketed again
 SMALL = 64  # buckets up to this size are compared by shifting the planes of many buckets at once
 
 
@@ -180,8 +182,9 @@ def _compare(radius: int):
     def run(batches):
         kept: list[tuple] = []
 
-        def links(table, key, part, fps):
-            new = np.flatnonzero((np.diff(table) != 0) | (np.diff(key) != 0) | (np.diff(part) != 0)) + 1
+        def links(*cols):
+            *keys, fps = cols
+            new = np.flatnonzero(np.any([np.diff(key) != 0 for key in keys], axis=0)) + 1
             bounds = np.concatenate([[0], new, [len(fps)]])
             size = np.diff(bounds)
             group = np.repeat(np.arange(len(size)), size)
@@ -198,12 +201,11 @@ def _compare(radius: int):
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            cols[3] = cols[3].view(np.uint64)
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            cols[5] = cols[5].view(np.uint64)
             if kept:
                 cols = [np.concatenate(x) for x in zip(kept, cols)]
-            table, key, part, _ = cols
-            other = np.flatnonzero((table != table[-1]) | (key != key[-1]) | (part != part[-1])) if len(table) else []
+            other = np.flatnonzero(np.any([key != key[-1] for key in cols[:5]], axis=0)) if len(cols[5]) else []
             cut = other[-1] + 1 if len(other) else 0  # the last group may go on in the next batch
             if cut:
                 yield links(*(c[:cut] for c in cols))
@@ -223,28 +225,56 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
-    """fps(fp long, distinct) -> (a, b): links that span every component of fingerprints at most radius bits apart.
+def blocks_for(count: int, radius: int = RADIUS) -> int:
+    """The least number of blocks whose keys leave about SMALL of `count` random fingerprints to a bucket."""
+    return next(b for b in range(radius + 2, 2 * radius + 1) if b == 2 * radius or 2 ** (64 * (b - radius) // b) * SMALL >= count)
 
-    blocks > radius; each of the C(blocks, blocks - radius) tables buckets on blocks - radius equal blocks. More
-    blocks give longer keys for larger corpora (6: 21 bits in 15 tables, 7: 27 bits in 35).
-    """
-    masks = _block_masks(blocks)
-    tables: list[Column] = []
-    for t, chosen in enumerate(combinations(masks, blocks - radius)):
-        tables.append(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(sum(chosen)))).alias("k")))
-    rows = fps.select("fp", F.explode(F.array(*tables)).alias("s")).select("s.t", "s.k", "fp")
-    hot = settle(rows.groupBy("t", "k").count().where(F.col("count") > chunk).select("t", "k", F.ceil(F.col("count") / chunk).cast("int").alias("n")), "hot")
+
+def _dealt(rows: DataFrame, hot: DataFrame, keys: list[str], chunk: int) -> DataFrame:
+    """rows(keys, fp) with `part`: 0 in a bucket of one chunk, else one row for each pair of chunks that fp takes part in."""
     mine = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-    dealt = rows.join(hot, ["t", "k"], "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("c", mine)
+    dealt = rows.join(hot, keys, "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("c", mine)
     others = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda j: (j != F.col("c")) | (F.col("n") == 1))
     part = F.transform(others, lambda j: F.least(j, F.col("c")).cast("long") * F.lit(1 << 31) + F.greatest(j, F.col("c")))
-    dealt = dealt.select("t", "k", "fp", F.explode(part).alias("part"))
-    ready = dealt.repartition("t", "k", "part").sortWithinPartitions("t", "k", "part").select("t", "k", "part", "fp")
-    return map_arrow(ready, _compare(radius), "a long, b long")
+    return dealt.select(*keys, "fp", F.explode(part).alias("part"))
+
+
+def _hot(rows: DataFrame, keys: list[str], chunk: int) -> DataFrame:
+    return settle(rows.groupBy(*keys).count().where(F.col("count") > chunk).select(*keys, F.ceil(F.col("count") / chunk).cast("int").alias("n")), "hot")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+def _inner_masks(shared: int, blocks: int) -> list[int]:
+    """The bits outside `shared` in `blocks` blocks of about equal size."""
+    free = [1 << b for b in range(64) if not shared >> b & 1]
+    edge = np.linspace(0, len(free), blocks + 1).round().astype(int)
+    return [sum(free[lo:hi]) for lo, hi in zip(edge, edge[1:])]
+
+
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK, split: int = SPLIT) -> DataFrame:
+    """fps(fp long, distinct) -> (a, b): links that span every component of fingerprints at most radius bits apart.
+
+    blocks > radius, by default from the number of fingerprints; each of the C(blocks, blocks - radius) tables buckets
+    on blocks - radius equal blocks (6: 21 bits in 15 tables, 7: 27 bits in 35, 8: 32 bits in 70). Buckets of over
+    `split` chunks are bucketed again by the bits they do not share, 2 of radius + 2 blocks each.
+    """
+    blocks = blocks or blocks_for(fps.count(), radius)
+    shared = [sum(chosen) for chosen in combinations(_block_masks(blocks), blocks - radius)]
+    tables: list[Column] = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("k")) for t, mask in enumerate(shared)]
+    rows = fps.select("fp", F.explode(F.array(*tables)).alias("s")).select("s.t", "s.k", "fp")
+    keys, hot = ["t", "k", "u", "j"], _hot(rows, ["t", "k"], chunk)
+    largest = hot.agg(F.max("n")).first()[0] or 0
+    dealt = _dealt(rows, hot, ["t", "k"], chunk) if largest <= split else _dealt(rows.join(hot.where(F.col("n") > split), ["t", "k"], "left_anti"), hot, ["t", "k"], chunk)
+    ready = dealt.select("t", "k", F.lit(0).alias("u"), F.lit(0).cast("long").alias("j"), "part", "fp")
+    if largest > split:
+        inner = [(t, u, _signed(sum(two))) for t, mask in enumerate(shared) for u, two in enumerate(combinations(_inner_masks(mask, radius + 2), 2), 1)]
+        masks = fps.sparkSession.createDataFrame(inner, "t int, u int, m long")  # C(blocks, radius) * C(radius + 2, 2) rows
+        again = rows.join(hot.where(F.col("n") > split).select("t", "k"), ["t", "k"]).join(F.broadcast(masks), "t").select("t", "k", "u", F.col("fp").bitwiseAND(F.col("m")).alias("j"), "fp")
+        again = settle(again, "again")
+        ready = ready.unionByName(_dealt(again, _hot(again, keys, chunk), keys, chunk).select(*keys, "part", "fp"))
+    return map_arrow(ready.repartition(*keys, "part").sortWithinPartitions(*keys, "part"), _compare(radius), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK, split: int = SPLIT) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
     Null text counts as empty; texts without words share fingerprint zero and are linked like any other. Rows
@@ -253,10 +283,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     """
     mine = settle(fingerprints(docs), "fingerprints")
     distinct = settle(mine.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    roots = connected_components(fingerprint_links(distinct.select("fp"), radius, blocks, chunk))
+    roots = connected_components(fingerprint_links(distinct.select("fp"), radius, blocks, chunk, split))
     placed = settle(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "placed")
+    forget(roots)
+    forget(distinct)
     lowest = settle(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "lowest")
     labels = settle(placed.join(lowest, "root").select("fp", "component_id"), "labels")
+    forget(placed)
+    forget(lowest)
     return mine.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -226,8 +226,8 @@ def test_simhash(odd, docs, texts):
     assert {r["component_id"] for r in simhash.near_duplicates(odd).where("doc_id in (2, 3, 5)").collect()} == {2}
 
 
-@pytest.mark.parametrize("chunk", [1024, 40])
-def test_dense_fingerprints_lose_no_link(spark, chunk):
+@pytest.mark.parametrize("options", [{}, {"chunk": 40}, {"chunk": 20, "split": 2}, {"blocks": 7}])
+def test_dense_fingerprints_lose_no_link(spark, options):
     rng = np.random.default_rng(1)
     fps = set()
     for base in rng.integers(0, 2**63, 4).tolist():
@@ -238,10 +238,20 @@ def test_dense_fingerprints_lose_no_link(spark, chunk):
             fps.add(y)
             base = y if rng.random() < 0.2 else base
     signed = sorted(simhash._signed(x) for x in fps)
-    links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"), chunk=chunk)
+    links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"), **options)
     got = {r["node"]: r["root"] for r in connected_components(links).collect()}
     want = plain_components(signed, [x % 2**64 for x in signed])
-    assert all(got.get(x, x) == want[x] for x in signed)
+    least = {}
+    for x in signed:
+        least.setdefault(got.get(x, x), x)  # in order: the smallest of each component
+    assert {x: least[got.get(x, x)] for x in signed} == want
+
+
+def test_components_in_few_rounds(spark):
+    rounds, chain = [], spark.range(1024).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = connected_components(chain, rounds).collect()
+    assert len(got) == 1025 and len({r["root"] for r in got}) == 1 and len(rounds) <= 15
+    assert connected_components(chain.limit(0)).count() == 0 and [simhash.blocks_for(n) for n in (1, 10**8, 10**9, 10**12)] == [6, 6, 7, 8]
 
 
 def test_html(spark):
