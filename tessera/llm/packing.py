@@ -26,6 +26,7 @@ from .common import id_text, map_arrow, settle, texts_of
 
 CAPACITY, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
+BASES = 300_000  # rows (of three numbers) of the table of bases that may be broadcast
 SPACES = "\t\n\r\x0b\x0c\x85\xa0"  # what the tokenizer drops below U+0100, besides the space
 # Below U+0100: single numbers, runs of what is neither letter, number nor white space, and both with contractions before.
 NUMBERS = "[0-9\xb2\xb3\xb9\xbc-\xbe]"
@@ -230,6 +231,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     base = settle(counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    base = F.broadcast(base) if base.count() <= BASES else base.hint("merge")
     ranked = cut.join(base, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("own_rank")).alias("rank"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return map_arrow(ranked, _place(_slots(plan(histogram, capacity))), schema)
