@@ -18,11 +18,13 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where the setting is unset (tests)."""
+    """The shared folder the cluster names; a temporary one only where the setting is unset in a local session (tests)."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, _own_dir, True)
