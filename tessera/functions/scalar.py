@@ -34,6 +34,10 @@ def positive(c: Column) -> Column:
     return F.when(c > 0, c)
 
 
+def is_zero(c: Column) -> Column:
+    return c == 0
+
+
 def clipped(c: Column, low: float | None = None, high: float | None = None) -> Column:
     """Null stays null, unlike greatest and least alone."""
     out = c if low is None else F.greatest(c, F.lit(low))

@@ -69,9 +69,13 @@ def date_range_errors(df: DataFrame, name: str, start, end, label: str, start_da
     return [f"{label}: starts at {row['lo']}"] * row["late"] + [f"{label}: ends at {row['hi']}"] * row["early"]
 
 
+def leaking_rows(df: DataFrame, target: str = "target_start_date", date: str = "date") -> DataFrame:
+    """One row: how many targets start at or before their features."""
+    return df.agg(F.count_if(F.col(target) <= F.col(date)).alias("failing"))
+
+
 def assert_anti_leakage(df: DataFrame) -> None:
-    bad = df.where(F.col("target_start_date") <= F.col("date")).count()
-    if bad:
+    if bad := leaking_rows(df).first()["failing"]:
         raise ValidationError(f"{bad} targets start at or before their features")
 
 

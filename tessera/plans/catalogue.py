@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import merged
 from tessera.functions import text as T
+from tessera.functions.scalar import is_zero
 from tessera.operators import aggregate as A
 from tessera.operators import ml, quality, sentiment, split, tfidf
 from tessera.operators import panel as P
@@ -216,8 +217,8 @@ def outer_merge_series(spark, d):
 
 @_q("SELECT doc_id, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic, quality IS NULL AS missed FROM documents LEFT JOIN labels USING (doc_id)")
 def left_join_fill(spark, d):
-    out = _t(spark, d, "documents").select("doc_id").join(_t(spark, d, "labels"), "doc_id", "left")
-    return out.select("doc_id", F.coalesce("quality", F.lit(0)).alias("quality"), F.coalesce("toxic", F.lit(0)).alias("toxic"), F.col("quality").isNull().alias("missed"))
+    out = X.fill_missing(_t(spark, d, "documents").select("doc_id"), _t(spark, d, "labels"), ["doc_id"], ["quality", "toxic"], "quality")
+    return out.withColumnRenamed("__missed", "missed")
 
 
 @_q("""SELECT CASE WHEN o_orderdate <= TIMESTAMP '1998-12-31' THEN 'train' WHEN o_orderdate <= TIMESTAMP '1999-12-31' THEN 'validation' ELSE 'test' END AS dataset_split,
@@ -227,10 +228,14 @@ def temporal_split(spark, d):
     return _days(o.groupBy("dataset_split").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("lo"), F.max("date").alias("hi")))
 
 
-@_q("SELECT doc_id, n_chars FROM documents")
+@_q("""SELECT 'n_chars' AS "column", avg((n_chars IS NULL)::INT)::DOUBLE AS null_fraction, avg((n_chars IS NULL)::INT) > 0.5 AS dropped FROM documents
+    UNION ALL SELECT 'sparse', round(avg((doc_id % 3 <> 0)::INT), 6), avg((doc_id % 3 <> 0)::INT) > 0.5 FROM documents""")
 def drop_high_missing(spark, d):
-    df = _t(spark, d, "documents").select("doc_id", "n_chars", F.when(F.col("doc_id") % 3 == 0, 1).alias("sparse"))
-    return split.drop_high_missing(df, 0.5)[0]
+    df = _t(spark, d, "documents").select("n_chars", F.when(F.col("doc_id") % 3 == 0, 1).alias("sparse"))
+    report = split.missing_report(df, 0.5)
+    if sorted(split.drop_high_missing(df, 0.5)[1]) != sorted(r["column"] for r in report.where("dropped").collect()):
+        raise RuntimeError("the columns dropped are not those reported")
+    return _rounded(report)
 
 
 @_q("WITH " + BARS + "," + RET0 + f""", v AS (SELECT {_roll('stddev_samp', 'r', 5)} AS v, {_roll('stddev_samp', 'r', 5, 1, 5)} AS t FROM ret)
@@ -248,7 +253,7 @@ def dedup_keep_last(spark, d):
 
 @_q("SELECT l_quantity = 1 AS flag, count(*) AS n FROM lineitem GROUP BY 1")
 def zero_volume_flag(spark, d):
-    return _t(spark, d, "lineitem").groupBy((F.col("l_quantity") - 1 == 0).alias("flag")).agg(F.count(F.lit(1)).alias("n"))
+    return _t(spark, d, "lineitem").groupBy(is_zero(F.col("l_quantity") - 1).alias("flag")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_q("""WITH j AS (SELECT doc_id, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))
@@ -392,7 +397,7 @@ def validation_summary(spark, d):
 
 @_q("WITH " + BARS + " SELECT count(*) FILTER (WHERE nxt <= date) AS failing FROM (SELECT date, lead(date) OVER (PARTITION BY ticker ORDER BY date) AS nxt FROM bars)")
 def anti_leakage_check(spark, d):
-    return bars(spark, d).withColumn("nxt", F.lead("date").over(P.by_entity())).agg(F.count_if(F.col("nxt") <= F.col("date")).alias("failing"))
+    return quality.leaking_rows(bars(spark, d).withColumn("target_start_date", F.lead("date").over(P.by_entity())))
 
 
 @_q("WITH j AS (SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)), m AS (SELECT median(quality) AS m FROM j WHERE doc_id % 2 = 0) SELECT doc_id, CAST(coalesce(quality, m) AS DOUBLE) AS quality FROM j, m")
@@ -408,12 +413,12 @@ def standardize(spark, d):
 
 @_q("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def top_k(spark, d):
-    return _t(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+    return A.top_k(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 20, ["o_orderkey"])
 
 
-@_q("SELECT lang AS mode FROM documents GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1")
+@_q("SELECT lang AS mode FROM documents WHERE lang IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1")
 def mode_smallest(spark, d):
-    return A.value_counts(_t(spark, d, "documents"), "lang").orderBy(F.desc("n"), "lang").limit(1).select(F.col("lang").alias("mode"))
+    return spark.createDataFrame([(A.top_mode(_t(spark, d, "documents"), "lang"),)], "mode string")
 
 
 @_q("""SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, max(value) AS high, min(value) AS low, count(*) AS n FROM events GROUP BY 1, 2""")
@@ -429,9 +434,41 @@ def _matrix(spark, d):
 
 
 
-@_q()
+def _matrix_sql() -> str:
+    """All columns of the matrix: price features a row down, news a news row down on the next trading day, zero where none."""
+    price = {f"realized_vol_{n}d": f"{_roll('stddev_samp', 'r', n)} * sqrt(252)" for n in (5, 10, 20)}
+    price |= {f"rolling_{m}_{n}d": _roll(f, "r", n) for n in (5, 10, 20, 60) for m, f in (("mean", "avg"), ("std", "stddev_samp"))}
+    mid, dev, up, down = _roll("avg", "close", 20), _roll("stddev_samp", "close", 20), _roll("avg", "gain", 14), _roll("avg", "loss", 14)
+    price |= {"bb_upper": f"{mid} + 2 * {dev}", "bb_lower": f"{mid} - 2 * {dev}", "bb_width": f"4 * {dev} / nullif({mid}, 0)"}
+    price |= {"rsi_14": f"CASE WHEN {up} = 0 AND {down} = 0 THEN 50 WHEN {down} = 0 THEN 100 ELSE 100 - 100 / (1 + {up} / {down}) END"}
+    kept = {f"log_return_lag_{k}d": _lag("r", k) for k in (1, 2, 3, 5, 10)}
+    kept |= {"target_realized_vol_5d": f"{_roll('stddev_samp', 'r', 5, 1, 5)} * sqrt(252)", "target_start_date": "lead(date) OVER (PARTITION BY ticker ORDER BY date)"}
+    said = {
+        "finbert_sentiment_mean": "avg(s)", **{f"finbert_pct_{k}": f"avg((label = '{k}')::INT)" for k in ("positive", "negative", "neutral")},
+        "char_count_mean": "avg(length(cleaned_text))", "word_count_mean": "avg(k)", "avg_word_length_mean": "avg(CAST(coalesce(length(cleaned_text)::DOUBLE / nullif(k, 0), 0) AS FLOAT))",
+    }
+    columns = lambda x: ", ".join(f"{e} AS {n}" for n, e in x.items())
+    shifted = lambda names: ", ".join(f"lag({n}) OVER w AS {n}" for n in names)
+    return f"""WITH {BARS}, {RET0}, {MACRO}, {REL}, {CLEAN}, {WORDS}, {LEX}, {NEWS},
+      moved AS (SELECT *, greatest(close - prev, 0) + 0 * prev AS gain, greatest(prev - close, 0) + 0 * prev AS loss FROM ret),
+      made AS (SELECT ticker, date, {columns(price | kept)} FROM moved),
+      known AS (SELECT made.*, rel.macro_total FROM made ASOF LEFT JOIN rel ON made.date >= rel.eff),
+      priced AS (SELECT ticker, date, {", ".join(kept)}, {shifted([*price, "macro_total"])} FROM known WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+      sized AS (SELECT doc_id, cleaned_text, CASE WHEN cleaned_text = '' THEN 0 ELSE len(string_split(cleaned_text, ' ')) END AS k FROM clean),
+      spoken AS (SELECT ticker, date, {columns(said)}, CAST(count(*) AS DOUBLE) AS news_count FROM news JOIN scored USING (doc_id) JOIN sized USING (doc_id) GROUP BY 1, 2),
+      late AS (SELECT ticker, date, {shifted([*said, "news_count"])} FROM spoken WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+      placed AS (SELECT late.* EXCLUDE (date), b.date, coalesce(news_count, 0) AS w FROM late ASOF JOIN bars b ON late.ticker = b.ticker AND late.date <= b.date),
+      mood AS (SELECT ticker, date, {", ".join(f"coalesce(sum({n} * w), 0) / nullif(sum(w), 0) AS {n}" for n in said)}, sum(w) AS news_count FROM placed GROUP BY 1, 2)
+      SELECT ticker, strftime(date, '%Y-%m-%d') AS date, strftime(target_start_date, '%Y-%m-%d') AS target_start_date,
+        CASE WHEN date <= TIMESTAMP '1998-12-31' THEN 'train' WHEN date <= TIMESTAMP '1999-12-31' THEN 'validation' ELSE 'test' END AS dataset_split, round(macro_total, 4) AS macro_total,
+        {", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in [*price, *kept] if n != "target_start_date")}, {", ".join(f"round(coalesce({n}, 0), 6) + 0.0 AS {n}" for n in [*said, "news_count"])}
+      FROM priced LEFT JOIN mood USING (ticker, date) WHERE (realized_vol_5d IS NULL OR realized_vol_5d > 0) AND target_realized_vol_5d IS NOT NULL"""
+
+
+@_q(_matrix_sql())
 def feature_matrix(spark, d):
-    return _matrix(spark, d)[0]
+    m = _matrix(spark, d)[0]
+    return _days(_rounded(m.withColumn("macro_total", F.round("macro_total", 4))))
 
 
 @_q(
@@ -471,8 +508,13 @@ def sample_n(spark, d):
     return A.sample_rows(_t(spark, d, "orders"), 100, ["o_orderkey"])
 
 
-@_q()
+@_q("WITH " + BARS + "," + RET0 + """, j AS (SELECT text, lang, source, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)),
+    f AS (SELECT 'news' AS dataset, unnest(['text', 'lang', 'source', 'n_chars', 'quality', 'toxic']) AS "column",
+      unnest([avg((text IS NULL)::INT), avg((lang IS NULL)::INT), avg((source IS NULL)::INT), avg((n_chars IS NULL)::INT), avg((quality IS NULL)::INT), avg((toxic IS NULL)::INT)]) AS p FROM j
+      UNION ALL SELECT 'prices', 'log_return', avg((r IS NULL)::INT) FROM ret)
+    SELECT dataset, "column", round(p, 6) AS missing_pct, CASE WHEN dataset = 'prices' THEN 'MNAR' ELSE 'MCAR' END AS likely_mechanism,
+      CASE WHEN dataset = 'prices' THEN 'keep null on an entity''s first row' ELSE 'keep; impute with the features' END AS proposed_treatment FROM f WHERE p > 0""")
 def missingness(spark, d):
-    return quality.missingness({"news": _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left"), "prices": returns(spark, d)})
+    return _rounded(quality.missingness({"news": _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left"), "prices": returns(spark, d)}))
 
 

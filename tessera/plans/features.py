@@ -18,6 +18,7 @@ from tessera.operators import sentiment, split, tfidf
 from tessera.operators.asof import asof_backward, asof_forward_by, latest_by, released
 from tessera.operators.ml import BaselineArtifacts, MedianImputer, adf_by_entity, run_baselines
 from tessera.schema import IDS, numeric_columns, require_columns
+from tessera.session import settled
 from tessera.sources import files
 
 PRICE = ("ticker", "date", "open", "high", "low", "close", "volume")
@@ -72,12 +73,16 @@ class IntegrationStats:
     dropped_columns: tuple[str, ...]
 
 
+def fill_missing(rows: DataFrame, other: DataFrame, keys: list[str], columns, seen: str) -> DataFrame:
+    """rows with what `other` has for their keys: zero where it has nothing, and __missed, whether `seen` was absent."""
+    out = rows.join(other, keys, "left").withColumn("__missed", F.col(seen).isNull())
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(out.schema[c].dataType)) for c in columns})
+
+
 def joined(prices: DataFrame, news: DataFrame, config: dict) -> DataFrame:
     """Price features with the aligned news, split labels; before hygiene."""
     rows = latest_by_key(prices)
-    aligned = align_news(news, rows)
-    out = rows.join(aligned, ["ticker", "date"], "left").withColumn("__missed", F.col("news_count").isNull())
-    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ZERO_FILLED})
+    out = fill_missing(rows, align_news(news, rows), ["ticker", "date"], ZERO_FILLED, "news_count")
     return split.assign_temporal_split(out.drop("open", "high", "low", "close", "volume", "volume_zero_flag", "log_return"), config)
 
 
@@ -97,7 +102,7 @@ def ensure_macro(prices: DataFrame, macro: DataFrame | None) -> DataFrame:
 
 def feature_matrix(prices: DataFrame, news: DataFrame, config: dict | None = None, macro: DataFrame | None = None) -> tuple[DataFrame, IntegrationStats]:
     c = merged(config)
-    full = joined(ensure_macro(prices, macro), news, c)
+    full = settled(joined(ensure_macro(prices, macro), news, c), "matrix")
     counts = split.hygiene_counts(full).join(full.agg(F.avg(F.col("__missed").cast("double")).alias("miss"))).first()  # one row each
     ready, gone = split.drop_high_missing(split.model_ready(full).drop("__missed"), c["features"]["max_missing_pct"])
     features = [x for x in numeric_columns(ready) if x not in IDS]

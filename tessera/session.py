@@ -5,10 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tessera", **conf: str) -> SparkSession:
@@ -31,3 +32,21 @@ def ship(spark: SparkSession) -> None:
             out.write(file, f"{root.name}/{file.relative_to(root)}")
     context.addPyFile(f"{folder}/tessera.zip")
     context._tessera_shipped = True
+
+
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the folder spark.checkpoint.dir names and read again: one evaluation, whatever reads it, and no lineage to lose.
+
+    Without the setting a temporary folder is used in a local session only.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, True)
+        folder = f"file://{folder}"
+    path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

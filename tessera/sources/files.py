@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import merged
 from tessera.functions import text as T
-from tessera.functions.scalar import in_range, number, timestamp
+from tessera.functions.scalar import in_range, is_zero, number, timestamp
 from tessera.operators.panel import keep_last, outer_merge
 from tessera.schema import add_missing, lower_names, missing_columns, rename_synonyms, require_columns
 
@@ -58,7 +58,7 @@ def read_prices(spark: SparkSession, files: list[str], start, end, suffix: str =
 
     last = keep_last(union_all(frames), ["ticker", "date"], "__line").where("close > 0")
     floats = [F.col(c).cast("float").alias(c) for c in BAR[1:5]]
-    return last.select("ticker", "date", *floats, "volume", (F.col("volume") == 0).cast("tinyint").alias("volume_zero_flag"))
+    return last.select("ticker", "date", *floats, "volume", is_zero(F.col("volume")).cast("tinyint").alias("volume_zero_flag"))
 
 
 def prepare_news(raw: DataFrame, start, end) -> DataFrame:
