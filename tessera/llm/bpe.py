@@ -21,6 +21,7 @@ from .common import id_text, map_arrow, slices, texts_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PRETOKENS, CHUNKS = 400_000, 400_000  # entries of the caches in a worker
+SIZE = 24 << 20  # characters in either cache, and of what is looked up at once
 GOLD = 0x9E3779B97F4A7C15
 
 
@@ -103,6 +104,7 @@ class BytePairEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.young_size = self.chunks_size = 0
 
     def merge(self, word: bytes) -> list[int]:
         """Merge the pair of least rank, leftmost first, until none is left: a heap over linked parts."""
@@ -129,18 +131,20 @@ class BytePairEncoder:
         return [self.ranks[p] for p in part if p]
 
     def _learn(self, pretokens: set[str]) -> None:
-        if len(self.young) > PRETOKENS:
-            self.old, self.young = self.young, {}
+        if len(self.young) > PRETOKENS or self.young_size > SIZE:
+            self.old, self.young, self.young_size = self.young, {}, 0
         missing = []
         for p in pretokens:
             if p not in self.young:
                 if (known := self.old.get(p)) is not None:
                     self.young[p] = known
+                    self.young_size += len(p)
                 else:
                     missing.append(p)
         raw = [p.encode("utf-8") for p in missing]
         for p, b, slot in zip(missing, raw, self.hash.find(raw)):
             self.young[p] = array("I", [self.ids_at[slot]] if slot >= 0 else self.merge(b)).tobytes()
+            self.young_size += len(p)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text.
@@ -151,8 +155,9 @@ class BytePairEncoder:
         plain = [t.split(" ") for t in texts]
         new: dict[str, list[str]] = {}
         whole: dict[int, list[str]] = {}
-        if len(self.chunks) > CHUNKS:
+        if len(self.chunks) > CHUNKS or self.chunks_size > SIZE:
             self.chunks.clear()
+            self.chunks_size = 0
         findall, spaces, chunks = self.pattern.findall, self.spaces, self.chunks
         for k, parts in enumerate(plain):
             for c in set(parts).difference(chunks):
@@ -169,6 +174,7 @@ class BytePairEncoder:
         self._learn(wanted)
         for c, ps in new.items():
             chunks[c] = b"".join([self.young[p] for p in ps])
+            self.chunks_size += len(c)
         out = []
         for k, parts in enumerate(plain):
             if k in whole:
@@ -193,12 +199,17 @@ def encoder(path: str, pattern: str) -> BytePairEncoder:
 
 def _encode(path: str, pattern: str):
     def run(batches):
+        collecting = gc.isenabled()
         gc.disable()  # the caches are many small objects without cycles
-        enc = encoder(path, pattern)
-        for batch in batches:
-            for part in slices(batch, 1 << 17):
-                ids = enc.encode_all(texts_of(part))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        try:
+            enc = encoder(path, pattern)
+            for batch in batches:
+                for part in slices(batch, 1 << 17):
+                    ids = enc.encode_all(texts_of(part))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        finally:
+            if collecting:
+                gc.enable()
 
     return run
 
