@@ -55,6 +55,15 @@ def is_utc_timestamp(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.TimestampType) and df.sparkSession.conf.get("spark.sql.session.timeZone") == "UTC"
 
 
+def summary(df: DataFrame, label: str = "dataset_split") -> dict[str, object]:
+    """Rows, columns, rows by label, and the null fraction of each column that has nulls; two passes."""
+    from tessera.operators.aggregate import null_fractions
+
+    parts = {str(r[label]): r["count"] for r in df.groupBy(label).count().collect()} if label in df.columns else {}
+    lost = {r["column"]: round(r["null_fraction"], 6) for r in null_fractions(df).where("null_fraction > 0").collect()}
+    return {"rows": sum(parts.values()) if parts else df.count(), "columns": len(df.columns), **{f"rows of {k}": n for k, n in sorted(parts.items())}, **{f"nulls of {k}": x for k, x in sorted(lost.items())}}
+
+
 def date_range_errors(df: DataFrame, name: str, start, end, label: str, start_days: int = 7, end_days: int = 0) -> list[str]:
     """Coverage from start + start_days at the latest to end - end_days at the least."""
     low, high = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,7 +125,9 @@ def build_price_features(spark: SparkSession, config: dict) -> str:
     macro = _read(spark, c["paths"]["macro_indicators"]) if files.exists(spark, c["paths"]["macro_indicators"]) else None
     out = price_features(_read(spark, c["paths"]["interim_prices"]), macro, c)
     path = files.write_parquet(out, c["paths"]["price_features"])
-    Q.assert_anti_leakage(_read(spark, path))
+    saved = _read(spark, path)
+    Q.assert_anti_leakage(saved)
+    split.assert_temporal_split(saved, c)
     first = out.select("ticker").orderBy("ticker").first()
     if first:
         own = _read(spark, c["paths"]["interim_prices"]).where(F.col("ticker") == first["ticker"]).withColumn("log_return", P.log_return(F.col("close")))
@@ -161,7 +164,7 @@ def save_feature_matrix(matrix: DataFrame, config: dict) -> str:
     if not isinstance(matrix, DataFrame):
         raise TypeError("a DataFrame is needed")
     c = merged(config)
-    path = files.write_parquet(matrix, c["paths"]["feature_matrix"])
+    path = files.write_parquet(matrix.repartitionByRange("ticker", "date").sortWithinPartitions("ticker", "date"), c["paths"]["feature_matrix"])
     saved = matrix.sparkSession.read.parquet(path)
     MedianImputer.fit(saved.where("dataset_split = 'train'"), numeric_columns(saved)).save(matrix.sparkSession, c["paths"]["pipeline_model"])
     return path
@@ -176,8 +179,11 @@ def matrix_expectations() -> list[Q.Expectation]:
     return [Q.not_null("target_realized_vol_5d", F.col("dataset_split") == "train"), Q.above("realized_vol_5d", 0), Q.after("target_start_date", "date")]
 
 
-def validation_errors(prices: DataFrame, news: DataFrame, matrix: DataFrame | None, config: dict | None = None, level: str | None = None) -> list[str]:
-    """All failed checks at the level (basic or strict); missing columns raise at once."""
+def validation_errors(prices: DataFrame, news: DataFrame, matrix: DataFrame | None, config: dict | None = None, level: str | None = None, macro: DataFrame | None = None) -> list[str]:
+    """All failed checks at the level (basic or strict); missing columns raise at once.
+
+    The order of rows is checked where a frame comes from files: by file and row.
+    """
     c = merged(config)
     v, level = c["validation"], level or c["validation"]["default_level"]
     if level not in ("basic", "strict"):
@@ -195,6 +201,13 @@ def validation_errors(prices: DataFrame, news: DataFrame, matrix: DataFrame | No
         out += Q.failures(news, [Q.matches("ticker", T.is_ticker(F.col("ticker"))), Q.member("text_source", ("article", "title")), Q.Expectation("title or article", empty)])
         if doubled := A.duplicate_rows(prices, ["ticker", "date"]).first()[0]:
             out.append(f"prices: {doubled} rows repeat their keys")
+        out += [f"{name}: date is no UTC timestamp" for name, df in (("prices", prices), ("news", news), ("matrix", matrix), ("macro", macro)) if df is not None and not Q.is_utc_timestamp(df, "date")]
+        if macro is not None:
+            if doubled := A.duplicate_rows(macro, ["date"]).first()[0]:
+                out.append(f"macro: {doubled} rows repeat their date")
+            out += _order_errors(macro.withColumn("__all", F.lit(1)), "__all", "macro")
+        if matrix is not None:
+            out += _order_errors(matrix, "ticker", "matrix")
     if matrix is not None:
         out += Q.failures(matrix, matrix_expectations())
         if doubled := A.duplicate_rows(matrix, ["ticker", "date"]).first()[0]:
@@ -203,14 +216,27 @@ def validation_errors(prices: DataFrame, news: DataFrame, matrix: DataFrame | No
     return out
 
 
+def _order_errors(df: DataFrame, entity: str, name: str) -> list[str]:
+    """Entities whose dates fall from one row of the files to the next."""
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:  # not read from files: its rows have no order
+        return []
+    placed = df.select(entity, "date", F.struct(F.input_file_name().alias("file"), F.col("_metadata.row_index").alias("row")).alias("__place"))
+    bad = A.out_of_order(placed, entity, "date", "__place").first()[0]
+    return [f"{name}: dates of {bad} entities are out of order"] * bool(bad)
+
+
 def run_all_validations(spark: SparkSession, config: dict, level: str | None = None) -> None:
     c = merged(config)
     prices, news = _read(spark, c["paths"]["interim_prices"]), _read(spark, c["paths"]["interim_news"])
-    there = files.exists(spark, c["paths"]["feature_matrix"])
-    errors = validation_errors(prices, news, _read(spark, c["paths"]["feature_matrix"]) if there else None, c, level)
+    own = lambda name: _read(spark, c["paths"][name]) if files.exists(spark, c["paths"][name]) else None
+    matrix, macro = own("feature_matrix"), own("macro_indicators")
+    errors = validation_errors(prices, news, matrix, c, level, macro)
     if (level or c["validation"]["default_level"]) == "strict":
         errors += [f"missing: {c['paths'][k]}" for k in ("feature_matrix", "pipeline_model") if not files.exists(spark, c["paths"][k])]
-    files.write_html("Validation", {"prices": {"rows": prices.count()}, "news": {"rows": news.count()}}, errors, f"{c['paths']['reports']}/validation_report.html")
+    parts = {"prices": {"rows": prices.count()}, "news": {"rows": news.count()}} | ({"matrix": Q.summary(matrix)} if matrix is not None else {})
+    files.write_html("Validation", parts, errors, f"{c['paths']['reports']}/validation_report.html")
     if errors:
         raise Q.ValidationError(" | ".join(errors))
 

@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,7 +9,7 @@ from tessera.functions import text as T
 from tessera.functions.scalar import number, timestamp
 from tessera.operators import aggregate as A
 from tessera.operators import panel as P
-from tessera.operators import split
+from tessera.operators import split, tfidf
 from tessera.operators.asof import asof_backward, asof_forward_by, released
 
 CONFIG = {"dates": {"train_end": "2020-12-31", "validation_end": "2021-12-31", "test_end": "2022-12-31"}}
@@ -49,14 +50,11 @@ def test_month_end_ties_take_the_latest_observation(spark):
     assert {(r["macro_effective_date"].day, r["macro_x"]) for r in released(m, ["x"]).collect()} == {(29, 31.0), (30, 31.0)}
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
-def test_asof_backward_both_ways(spark, monkeypatch, limit):
-    import tessera.operators.asof as asof
-
-    monkeypatch.setattr(asof, "BROADCAST_ROWS", limit)
+@pytest.mark.parametrize("deal", [1, 5])
+def test_asof_backward_dealt(spark, deal):
     left = spark.createDataFrame([(i, DAY + timedelta(days=i * 20)) for i in range(8)], "i int, t timestamp")
     right = spark.createDataFrame([(DAY + timedelta(days=d), d) for d in (3, 40, 41, 139)], "eff timestamp, v int")
-    got = {r["i"]: r["v"] for r in asof_backward(left, right, "t", "eff").collect()}
+    got = {r["i"]: r["v"] for r in asof_backward(left, right, "t", "eff", deal=deal).collect()}
     assert got == {0: None, 1: 3, 2: 40, 3: 41, 4: 41, 5: 41, 6: 41, 7: 139}
 
 
@@ -122,6 +120,71 @@ def test_stages_end_to_end(spark, tmp_path):
         todo[name]()
     m = spark.read.parquet(paths["feature_matrix"])
     assert m.count() > 100 and {"macro_VIXCLS", "news_count", "rsi_14"} <= set(m.columns)
+    report = (tmp_path / "reports" / "validation_report.html").read_text()
+    assert "rows of train" in report
+    from tessera.plans import features as X
+
+    read = lambda name: spark.read.parquet(paths[name])
+    errors = X.validation_errors(read("interim_prices"), read("interim_news"), m, config, "strict", read("macro_indicators"))
+    assert not [e for e in errors if "order" in e or "UTC" in e or "repeat" in e]
+    falling = str(tmp_path / "falling")
+    m.coalesce(1).sortWithinPartitions(F.desc("date")).write.parquet(falling)
+    doubled = read("macro_indicators").unionByName(read("macro_indicators"))
+    errors = X.validation_errors(read("interim_prices"), read("interim_news"), spark.read.parquet(falling), config, "strict", doubled)
+    assert any("matrix: dates of 2 entities" in e for e in errors) and any("macro" in e and "repeat" in e for e in errors)
+
+
+def test_asof_forward_of_a_busy_entity_is_one_pass(spark):
+    rows = spark.range(200_000).select(F.lit("a").alias("ticker"), (F.lit(DAY).cast("timestamp") + F.make_dt_interval(secs="id")).alias("date"))
+    begin = time.time()
+    out = asof_forward_by(rows, rows.where("pmod(unix_seconds(date), 100) = 0"), "ticker", "date", "date", "td")
+    assert out.where("td < date or td - date >= INTERVAL 100 SECONDS").count() == 0 and time.time() - begin < 60
+
+
+def test_asof_plans_have_no_nested_loop(spark):
+    left = spark.createDataFrame([(1, DAY), (2, None), (3, DAY - timedelta(days=400)), (4, DAY + timedelta(days=900))], "k int, date timestamp")
+    right = spark.createDataFrame([(DAY - timedelta(days=40), 1), (DAY, 2), (None, 9)], "eff timestamp, v int")
+    out = asof_backward(left, right, "date", "eff")
+    assert "NestedLoop" not in out._jdf.queryExecution().toString()
+    assert {r["k"]: r["v"] for r in out.collect()} == {1: 2, 2: None, 3: None, 4: 2}
+    assert {r["v"] for r in asof_backward(left, right.limit(0), "date", "eff").collect()} == {None}
+
+
+@pytest.mark.parametrize("most", [0, 3, 8])
+def test_tfidf_leaves_nothing_out(spark, most):
+    """The vocabulary against a plain count of all words and pairs; the normalised form against its definition."""
+    from collections import Counter
+
+    texts = ["a b c", "a b", "a b d a b", "c a", "d d d b a", "", "e f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    df = Counter(x for t in texts for x in {*t.split(), *map(" ".join, zip(t.split(), t.split()[1:]))})
+    want = sorted(df.items(), key=lambda x: (-x[1], x[0]))[: most or None]
+    got = tfidf.fit(docs, "t", most, (1, 2))
+    assert [(r["term"], r["df"]) for r in got.orderBy("idx").collect()] == want and {r["idx"] for r in got.collect()} == set(range(len(want)))
+    docs = docs.withColumn("t", F.regexp_replace("t", "([a-f])", "$1$1"))
+    weights = tfidf.transform(docs, "t", "k", tfidf.fit(docs, "t", most, form="l2"), form="l2").groupBy("k").agg(F.sum(F.col("weight") ** 2)).collect()
+    assert weights and all(abs(r[1] - 1) < 1e-9 for r in weights)
+
+
+def test_split_assertion_and_profile(spark, caplog):
+    df = spark.createDataFrame([(datetime(2020, 1, 1),), (datetime(2022, 2, 1),)], "date timestamp")
+    split.assert_temporal_split(df, CONFIG)
+    assert "validation" in caplog.text
+    with pytest.raises(ValueError):
+        split.assert_temporal_split(df.limit(0), CONFIG)
+    rows = {r["column"]: r for r in A.profile(spark.createDataFrame([(1, "x"), (3, None)], "n int, s string"), exact=True).collect()}
+    assert (rows["n"]["mean"], rows["n"]["distinct"], rows["s"]["nulls"], rows["s"]["max_text"]) == (2.0, 2, 1, "x")
+
+
+def test_failures_of_the_model_in_the_executors_fall_back(spark, monkeypatch):
+    from tessera.operators import sentiment
+
+    def broken(model, **options):
+        return lambda df, text: df.withColumn("x", F.raise_error(F.lit("no memory")).cast("int"))
+
+    monkeypatch.setattr(sentiment, "transformer_scorer", broken)
+    df = spark.createDataFrame([("gain",)], "cleaned_text string")
+    assert sentiment.score_texts(df, model="m").first()["finbert_label"] == "positive"
 
 
 @pytest.mark.parametrize("query, trees", [("baseline_mae", 300), ("gbt_mae", 300)])
