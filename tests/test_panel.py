@@ -50,8 +50,9 @@ def test_month_end_ties_take_the_latest_observation(spark):
     assert {(r["macro_effective_date"].day, r["macro_x"]) for r in released(m, ["x"]).collect()} == {(29, 31.0), (30, 31.0)}
 
 
-@pytest.mark.parametrize("deal", [1, 5])
-def test_asof_backward_dealt(spark, deal):
+@pytest.mark.parametrize("deal, sent", [(1, 0), (5, 0), (1, 1000)])
+def test_asof_backward_dealt(spark, monkeypatch, deal, sent):
+    monkeypatch.setattr("tessera.operators.asof.SENT", sent)
     left = spark.createDataFrame([(i, DAY + timedelta(days=i * 20)) for i in range(8)], "i int, t timestamp")
     right = spark.createDataFrame([(DAY + timedelta(days=d), d) for d in (3, 40, 41, 139)], "eff timestamp, v int")
     got = {r["i"]: r["v"] for r in asof_backward(left, right, "t", "eff", deal=deal).collect()}
@@ -141,7 +142,9 @@ def test_asof_forward_of_a_busy_entity_is_one_pass(spark):
     assert out.where("td < date or td - date >= INTERVAL 100 SECONDS").count() == 0 and time.time() - begin < 60
 
 
-def test_asof_plans_have_no_nested_loop(spark):
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_asof_plans_have_no_nested_loop(spark, monkeypatch, sent):
+    monkeypatch.setattr("tessera.operators.asof.SENT", sent)
     left = spark.createDataFrame([(1, DAY), (2, None), (3, DAY - timedelta(days=400)), (4, DAY + timedelta(days=900))], "k int, date timestamp")
     right = spark.createDataFrame([(DAY - timedelta(days=40), 1), (DAY, 2), (None, 9)], "eff timestamp, v int")
     out = asof_backward(left, right, "date", "eff")
