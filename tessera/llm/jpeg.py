@@ -3,9 +3,11 @@
 64 payload bytes make one 8x8 block: the first is its DC coefficient, the others its AC coefficients in zigzag
 order, each in a magnitude range that costs a fixed number of bits. All scans are progressive: DC and two spectral
 bands without the lowest bit first, the lowest bits by successive approximation. Such files hold the payload
-exactly, since nothing is lost after quantisation (all steps 1). The decoder gathers the scans of any progressive
-file of this frame type into coefficient arrays; scans whose code has one symbol are read with numpy. An inverse
-transform in numpy, chroma upsampling and colour conversion give the full-resolution RGB tensor.
+exactly, since nothing is lost after quantisation (all steps 1). The decoder gathers the scans of progressive files
+into coefficient arrays if each scan has one component, as those written here; it refuses interleaved scans and
+does not know restart markers. Scans whose code has one symbol are read with numpy. An inverse transform in numpy,
+chroma upsampling and colour conversion give the full-resolution RGB tensor. A payload of over about 402 MB does
+not fit the height of one image.
 """
 
 from __future__ import annotations
