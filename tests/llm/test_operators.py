@@ -247,6 +247,62 @@ def test_dense_fingerprints_lose_no_link(spark, options):
     assert {x: least[got.get(x, x)] for x in signed} == want
 
 
+def plain_similar(rows, similarity=0.8):
+    """Components of equal or similar sets of five-word shingles, all pairs compared."""
+    sets = []
+    for _, text in rows:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or (min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) / len(a | b) >= similarity):
+                up[top(i)] = top(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[top(i)] = min(doc, least.get(top(i), doc))
+    return [(doc, least.get(top(i))) for i, (doc, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("chunk", [1024, 90])
+def test_similar(spark, chunk):
+    rng, rows = random.Random(3), []
+    word = lambda: f"w{rng.randrange(5000)}"
+    shared = [word() for _ in range(70)]
+    for size, length in ((200, 300), (90, 60), (20, 25), (3, 9), (2, 6)):
+        base = [word() for _ in range(length)]
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rng.randrange(1 + length // 60)):
+                own[rng.randrange(length)] = word()
+            if rng.random() < 0.1:
+                base = own  # chains
+            rows.append(" ".join(own))
+    rows += [" ".join(shared + [word() for _ in range(rng.randrange(40, 200))]) for _ in range(100)]  # one passage, different documents
+    rows += [" ".join(word() for _ in range(rng.randrange(12))) for _ in range(60)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, simhash.similar(df, chunk=chunk).collect()))
+    assert got == plain_similar(rows)
+    assert simhash.keep_one_similar(df, chunk=chunk).count() == len({c for _, c in got})
+
+
+def test_similar_odd(spark, odd):
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or 0)
+    assert sorted(map(tuple, simhash.similar(odd).collect()), key=key) == sorted(plain_similar(ROWS), key=key)
+    assert simhash.similar(odd.limit(0)).count() == 0
+    kept = simhash.keep_one_similar(odd)
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 6, 7, 8, None}
+
+
 def test_components_in_few_rounds(spark):
     rounds, chain = [], spark.range(1024).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = connected_components(chain, rounds).collect()
