@@ -10,7 +10,7 @@ from tessera.llm.common import settle
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (no text, no letters) go."""
+    """Documents whose language cannot be told go: no letters, no n-gram that a filter knows, or nothing learnt."""
     return langid.keep_identified(docs, langid.learn(docs))
 
 
@@ -20,8 +20,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies stays, the one with the smallest doc_id.
+
+    Near copies share 0.8 or more of their sets of five-word shingles, directly or through others.
+    """
+    return simhash.keep_one_similar(docs)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
