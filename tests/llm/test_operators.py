@@ -559,7 +559,7 @@ def test_pipeline(spark, docs, texts):
         unique.setdefault(norm(texts[i]), i)
     second = sorted(unique.values())
     assert ids("exact_dedup") == second
-    parts = plain_components(second, [plain_fingerprint(texts[i]) for i in second])
-    assert ids("near_dedup") == ids("pii") == sorted(set(parts.values()))
+    parts = plain_similar([(i, texts[i]) for i in second])
+    assert ids("near_dedup") == ids("pii") == sorted({c for _, c in parts})
     assert not any(pii.base_spans(r[0]) for r in seen["pii"].select("text").collect())
     check_packing(frame.collect(), [(r["doc_id"], r["text"]) for r in seen["pii"].collect()], P.path(packing.TOKENIZER))
