@@ -11,7 +11,8 @@ Near copies by similarity (`similar`): sets of five-word shingles with a Jaccard
 bits apart, too far for shared blocks. Their fingerprints meet in buckets of equal least hashes instead, are compared
 bit-sliced with a wide radius, and each bucket's spanning forest of least distances is checked on the whole shingle sets.
 Where links of that forest fail, the members of the loose component outside its largest sure part are compared with all
-of it, so no link within the radius is lost.
+of it, so no link within the radius is lost. Whole texts stay in the table they came in: a broadcast filter of bounded
+size leaves those of nodes that met another to be shuffled, and the rows that may have to go.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ WORDS, SIMILARITY = 5, 0.8  # of near copies
 REACH = 20  # bits; sets of a similarity of 0.8 differ in 10 on average, small ones in 12
 PART_BYTES = 16 << 20  # of texts compared in one task; twice that at most, but for single longer texts
 BANDS, ROWS = 16, 4  # least hashes: 1 - (1 - 0.8 ** 4) ** 16 = 0.9998 of pairs at 0.8 share a bucket
+SIEVE = 20  # 2 ** 20 words at most are broadcast, whatever the number of keys; 64 bits each, one for each key
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -368,6 +370,33 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int | None =
     return mine.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _sifted(rows: DataFrame, key: list, keys: DataFrame, sieve: int = SIEVE) -> DataFrame:
+    """rows with `__sift_may`: false only where the columns `key` equal no row of `keys`.
+
+    A hash of the key names a bit of a word; the words that have one are broadcast. So rows that cannot be meant need no
+    shuffle, however many the keys are: more keys let more others through, and an exact join must follow.
+    """
+    at = lambda h: F.shiftrightunsigned(h, 64 - sieve).alias("__sift_word")
+    bit = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
+    h = F.xxhash64(*keys.columns)
+    words = keys.groupBy(at(h)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(h))).alias("__sift_bits"))
+    mine = F.xxhash64(*key)
+    found = rows.withColumn("__sift_word", at(mine)).join(F.broadcast(words), "__sift_word", "left")
+    return found.withColumn("__sift_may", F.coalesce(F.getbit("__sift_bits", bit(mine)) == 1, F.lit(False)))
+
+
+def _without(docs: DataFrame, gone: DataFrame, sieve: int = SIEVE) -> DataFrame:
+    """The rows of docs whose doc_id is none of gone(doc_id long, settled); only rows that may be are shuffled."""
+    rows = _sifted(docs, [F.col("doc_id").cast("long")], gone, sieve)
+    stay, rest = rows.where("not __sift_may"), rows.where("__sift_may")
+    return stay.select(docs.columns).unionByName(rest.join(gone, "doc_id", "left_anti").select(docs.columns))
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with `at`, by which a row is found again: its doc_id, and a hash of its text where that repeats."""
+    return docs.withColumn("at", F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")))
+
+
 def _signatures(shingle: int, bands: int, rows: int):
     draw = np.random.default_rng(SEED)
     mix = draw.integers(0, 1 << 63, (2, bands * rows), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -385,8 +414,8 @@ def _signatures(shingle: int, bands: int, rows: int):
                 keys.append([xxhash.xxh64_intdigest(band.tobytes(), SEED) for band in least.reshape(bands, rows)])
             longs = lambda xs: pa.array(np.array(xs, np.uint64).reshape(-1).view(np.int64))
             offsets = pa.array(np.arange(0, bands * len(nodes) + 1, bands, dtype=np.int32))
-            cols = [batch.column(0), batch.column(1), longs(nodes), longs(fps), pa.ListArray.from_arrays(offsets, longs(keys))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "node", "fp", "bands"])
+            cols = [batch.column("doc_id"), batch.column("mark"), longs(nodes), longs(fps), pa.ListArray.from_arrays(offsets, longs(keys))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "mark", "node", "fp", "bands"])
 
     return run
 
@@ -481,15 +510,22 @@ def _parts(placed: DataFrame, chunk: int, part_bytes: int) -> DataFrame:
     return asked.unionByName(rows.where("rest").select(*own, place(F.col("is")).alias("i"), every(F.col("js")).alias("j"), F.lit(True).alias("asks")))
 
 
-def similar_roots(distinct: DataFrame, texts: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, radius: int = REACH, chunk: int = CHUNK, part_bytes: int = PART_BYTES) -> DataFrame:
-    """distinct(node, fp, bands), texts(node, text) -> settled (node, root) of the components of alike nodes.
+def _texts_at(docs: DataFrame, ends: DataFrame, sieve: int = SIEVE) -> DataFrame:
+    """docs(doc_id, text), ends(node, at, settled) -> (node, text): the text of one row of each node, the others are not shuffled."""
+    found = _sifted(_marked(docs), ["at.doc_id", "at.mark"], ends.select("at.doc_id", "at.mark"), sieve).where("__sift_may")
+    return found.groupBy("at").agg(F.any_value("text").alias("text")).join(ends, "at").select("node", "text")
+
+
+def similar_roots(distinct: DataFrame, docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, radius: int = REACH, chunk: int = CHUNK, part_bytes: int = PART_BYTES) -> DataFrame:
+    """distinct(node, at, fp, bands), docs(doc_id, text) -> settled (node, root) of the components of alike nodes.
 
     Two sets are compared if one of their bands of least hashes is equal and their fingerprints lie within the radius,
     or if links of such pairs join them: whole sets decide. Nodes that met no other do not appear.
     """
     links = _met(distinct, radius, chunk)
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = settle(texts.join(ends, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))), "ends")
+    ends = settle(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "at"), "node"), "ends")
+    own = settle(_texts_at(docs, ends).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))), "texts")
+    forget(ends)
     side = lambda end: own.select(F.col("node").alias(end), F.col("text").alias(f"t{end}"))
     pairs = links.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
     alike = settle(map_arrow(pairs, _alike(shingle, similarity), "a long, b long"), "alike")
@@ -516,10 +552,13 @@ def similar(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARIT
     Null text counts as empty; texts without words share the empty set and one component, as do all texts of one
     shingle set. Rows that repeat keep a row each; very long texts are read whole. An empty table gives an empty
     result; other columns are not read. A null doc_id never becomes a component_id unless the whole component has none.
+    docs is read twice and must give the same rows; those that share a doc_id are told apart by a 64-bit hash of the text.
     """
-    mine = settle(map_arrow(id_text(docs), _signatures(shingle, bands, rows), "doc_id long, text string, node long, fp long, bands array<long>"), "signatures")
-    distinct = settle(mine.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
-    roots = similar_roots(distinct.select("node", "fp", "bands"), mine.select("node", "text"), shingle, similarity, radius, chunk)
+    marked = _marked(id_text(docs)).select("doc_id", "text", "at.mark")
+    mine = settle(map_arrow(marked, _signatures(shingle, bands, rows), "doc_id long, mark long, node long, fp long, bands array<long>"), "signatures")
+    own = [F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "mark")).alias("at"), F.first("fp").alias("fp"), F.first("bands").alias("bands")]
+    distinct = settle(mine.groupBy("node").agg(*own), "distinct")
+    roots = similar_roots(distinct.select("node", "at", "fp", "bands"), id_text(docs), shingle, similarity, radius, chunk)
     labels = _labels(distinct.select("node", "rep"), roots, "node")
     forget(distinct)
     return mine.join(labels, "node").select("doc_id", "component_id")
@@ -527,8 +566,7 @@ def similar(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARIT
 
 def keep_one_similar(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose doc_id names their component of `similar`; null and repeated doc_ids as in `keep_one`."""
-    gone = similar(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, settle(similar(docs, **options).where("doc_id <> component_id").select("doc_id").distinct(), "gone"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

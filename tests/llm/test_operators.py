@@ -303,6 +303,48 @@ def test_similar_odd(spark, odd):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 6, 7, 8, None}
 
 
+def test_similar_moves_no_whole_table(spark):
+    """Texts without near copies are neither shuffled nor written, whatever the plan's thresholds."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{rng.getrandbits(64):x}" for _ in range(4000))) for i in range(200)]
+    rows += [(200 + i, rows[i][1] + " more") for i in range(2)]
+    df = simhash.settle(spark.createDataFrame(rows, "doc_id long, text string"), "rows")
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def moved(after=-1):
+        """Of the stages after the given one: the last one's number, bytes shuffled, bytes written."""
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        new = [s for s in (found.apply(k) for k in range(found.size())) if s.stageId() > after]
+        return max((s.stageId() for s in new), default=after), sum(s.shuffleWriteBytes() for s in new), sum(s.outputBytes() for s in new)
+
+    last, whole = moved()[0], sum(len(x) for _, x in rows)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.keep_one_similar(df)
+        assert sorted(r[0] for r in kept.collect()) == list(range(200))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    _, shuffled, written = moved(last)
+    assert 0 < shuffled < whole / 4 and 0 < written < whole / 4
+
+
+@pytest.mark.parametrize("sieve", [1, 20])
+def test_sifted_rows(spark, sieve):
+    """A full filter lets rows through that the exact joins drop; null and repeated ids find their own texts."""
+    docs = spark.createDataFrame([(i if i % 7 else None, f"{i}") for i in range(600)] + [(5, "x"), (5, None)], "doc_id int, text string")
+    gone = simhash.settle(spark.createDataFrame([(i,) for i in range(0, 600, 2)], "doc_id long"), "gone")
+    kept = simhash._without(docs, gone, sieve)
+    odd = {r["text"] for r in docs.collect() if r["doc_id"] is None or r["doc_id"] % 2}
+    assert kept.schema == docs.schema and {r["text"] for r in kept.collect()} == odd and kept.count() == len(odd)
+    rows = simhash._marked(simhash.id_text(docs))
+    ends = simhash.settle(rows.where("text in ('7', '14', '5', 'x', '8') or text is null").select(F.coalesce(F.hash("text"), F.lit(0)).cast("long").alias("node"), "at"), "ends")
+    want = {r["node"]: r["text"] for r in rows.join(ends, "at").select("node", "text").collect()}
+    got = simhash._texts_at(simhash.id_text(docs), ends, sieve).collect()
+    assert len(got) == 6 and {r["node"]: r["text"] for r in got} == want and set(want.values()) == {"7", "14", "5", "x", "8", None}
+
+
 def test_components_in_few_rounds(spark):
     rounds, chain = [], spark.range(1024).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = connected_components(chain, rounds).collect()
