@@ -162,20 +162,13 @@ def _portions(texts: list[str]):
         yield texts[begin:]
 
 
-def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct indices, the sums of their rows, and how often each occurs."""
-    order = np.argsort(at)
-    own, begin = np.unique(at[order], return_index=True)
-    return own, np.add.reduceat(rows.take(order, axis=0), begin, axis=0), np.diff(np.append(begin, len(at)))
-
-
 def _log_softmax_at(ahead: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Natural log of the softmax of each row of ahead @ table.T at one column."""
     score = ahead @ table.T
-    own = score[np.arange(len(at)), at].astype(np.float64)
+    own = score.reshape(-1).take(np.arange(0, score.size, len(table)) + at).astype(np.float64)
     np.exp(score, out=score)
     total = score @ np.ones(len(table), np.float32)
-    if not (np.isfinite(total) & (total > 0)).all():  # beyond the range of float32
+    if not (total.min() > 0 and total.max() < np.inf):  # beyond the range of float32
         score = ahead @ table.T
         most = score.max(axis=1, keepdims=True)
         total, own = np.exp(score - most).sum(axis=1), own - most[:, 0]
@@ -216,9 +209,8 @@ class LogBilinear:
         logs = np.zeros(len(order))
         for name, (group, member) in vocab.paths(ranks).items():
             edge, table = vocab.levels[name][0], self.p[name]
-            begin = np.flatnonzero(np.diff(group, prepend=-1)) if len(group) else []
-            for s, e in zip(begin, [*begin[1:], len(group)]):
-                lo, hi = edge[group[s]], edge[group[s] + 1]
+            begin = np.flatnonzero(np.diff(group, prepend=-1))
+            for s, e, lo, hi in zip(*(x.tolist() for x in (begin, np.append(begin[1:], len(group)), edge[group[begin]], edge[group[begin] + 1]))):
                 for s in range(s, e if hi - lo > 1 else s, 4096):
                     own = slice(s, min(s + 4096, e))
                     logs[own] += _log_softmax_at(ahead[own], table[lo:hi], member[own] - lo)
@@ -236,17 +228,29 @@ class Pass:
 
     def __init__(self, vocab: Vocabulary, model: LogBilinear, seed: int):
         self.vocab, self.model, self.rng = vocab, model.copy(), np.random.default_rng([SEED, seed])
-        self.square = {k: np.ones((len(v), 1), np.float32) for k, v in model.p.items()}
+        self.square = {k: np.ones(len(v), np.float32) for k, v in model.p.items()}
         self.used = {k: np.zeros(len(v), np.float32) for k, v in model.p.items()}
         self.cumulated = {k: np.concatenate([[0.0], np.cumsum(mass)]) for k, (_, mass) in vocab.levels.items()}
         self.offset = {k: np.log(NOISE * vocab.share(k)).astype(np.float32) for k in vocab.levels}
+        self.seen, self.place = np.zeros(len(model.p["r"]), bool), np.zeros(len(model.p["r"]), np.int64)
 
-    def _move(self, name: str, own: np.ndarray, total: np.ndarray, times) -> None:
-        square = self.square[name].take(own, axis=0) + np.square(total).mean(axis=1, keepdims=True)
+    def _move(self, name: str, own, total: np.ndarray, times) -> None:
+        """One step of the rows own; total has a column for each."""
+        square = self.square[name][own] + np.einsum("dn,dn->n", total, total) / len(total)
         self.square[name][own] = square
-        self.model.p[name][own] = self.model.p[name].take(own, axis=0) + total * (RATE / np.sqrt(square))
+        table = self.model.p[name]
+        table[own] = (table.take(own, axis=0) if isinstance(own, np.ndarray) else table) + (total * (RATE / np.sqrt(square))).T
         self.used[name][own] += times
 
+    def _distinct(self, *at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Distinct indices of all, and the places of each among them."""
+        for a in at:
+            self.seen[a] = True
+        own = np.flatnonzero(self.seen)
+        self.seen[own] = False
+        self.place[own] = np.arange(len(own))
+        return own, [self.place.take(a) for a in at]
+
     def learn(self, ranks: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         for s in range(0, len(ranks), BATCH):
             order = s + self.rng.permutation(min(BATCH, len(ranks) - s))
@@ -255,48 +259,103 @@ class Pass:
 
     def _step(self, ranks, one, two) -> None:
         """One step on tokens sorted by class, so that every level's groups are runs."""
-        p, n = self.model.p, len(ranks)
+        p, n, paths, moves = self.model.p, len(ranks), self.vocab.paths(ranks), []
         r1, r2 = p["r"].take(one, axis=0), p["r"].take(two, axis=0)
         ahead = self.model.ahead(r1, r2)
-        back, moves = np.zeros_like(ahead), []
-        for name, (group, member) in self.vocab.paths(ranks).items():
-            if len(group):
-                back[: len(group)] += self._contrast(name, ahead[: len(group)], group, member, moves)
-        back = back[:, :DIM]
-        moves.append(("r", np.concatenate([one, two]) % len(p["r"]), np.concatenate([back @ p["m1"].T, back @ p["m2"].T])))
-        for name, rows in (("m1", r1), ("m2", r2)):
-            self._move(name, np.arange(DIM), rows.T @ back, n)
-        for name, at, grad in moves:
-            self._move(name, *_sum_rows(at, grad))
-
-    def _contrast(self, name, ahead, group, member, moves) -> np.ndarray:
-        """Members against noise of their group: adds the table's gradient to moves, returns the one of ahead.
+        back = np.ascontiguousarray((self._contrast_few("qs", ahead, *paths["qs"], moves) + self._contrast_few("qc", ahead, *paths["qc"], moves)).T)
+        if inner := len(paths["q"][0]):
+            back[:, :inner] += self._contrast("q", np.ascontiguousarray(ahead[:inner].T), *paths["q"], moves)
+        back = back[:DIM]
+        own, at = self._distinct(one % len(p["r"]), two % len(p["r"]))
+        moves.append(("r", own, p["m1"] @ _sum_columns(back, at[0], len(own)) + p["m2"] @ _sum_columns(back, at[1], len(own)), sum(np.bincount(a, minlength=len(own)) for a in at)))
+        moves += [(name, slice(None), back @ rows, n) for name, rows in (("m1", r1), ("m2", r2))]
+        for move in moves:
+            self._move(*move)
+
+    def _outcomes(self, name, group, member, begin, last) -> list[np.ndarray]:
+        """The member and NOISE noise members for each token.
 
         Each token draws one member of its group by its share and meets those of the NOISE - 1 tokens after it as
         well, in a circle inside the group, so noise costs one look-up a token.
         """
-        (edge, _), table, cumulated, offset = self.vocab.levels[name], self.model.p[name], self.cumulated[name], self.offset[name]
-        n, lo, hi = len(group), edge[group], edge[group + 1]
+        edge, cumulated, n = self.vocab.levels[name][0], self.cumulated[name], len(group)
+        lo, hi = edge[group], edge[group + 1]
         draw = cumulated[lo] + self.rng.random(n) * (cumulated[hi] - cumulated[lo])
-        fake = np.clip(np.searchsorted(cumulated, draw, "right") - 1, lo, hi - 1)
-        good, bad, off = table.take(member, axis=0), table.take(fake, axis=0), offset[fake]
-        pull = (1 - _logistic(np.einsum("nd,nd->n", ahead, good) - offset[member]))[:, None]
-        push = -_logistic(np.einsum("nd,nd->n", ahead, bad) - off)[:, None]
-        back, grad = pull * good + push * bad, push * ahead
-        if NOISE > 1:
-            first = np.searchsorted(group, group)
-            last = np.searchsorted(group, group, "right")
-            at = np.arange(n)
+        fakes = [np.clip(np.searchsorted(cumulated, draw, "right") - 1, lo, hi - 1)]
         for _ in range(1, NOISE):
-            at = at + 1
-            at = np.where(at == last, first, at)  # a permutation
-            other = bad.take(at, axis=0)
-            push = -_logistic(np.einsum("nd,nd->n", ahead, other) - off[at])[:, None]
-            back += push * other
-            grad[at] = grad.take(at, axis=0) + push * ahead
-        moves.append((name, np.concatenate([member, fake]), np.concatenate([pull * ahead, grad])))
+            fakes.append(_turned(fakes[-1], begin, last))
+        return [member, *fakes]
+
+    def _contrast_few(self, name, ahead, group, member, moves) -> np.ndarray:
+        """Members against noise of their group, for groups of few members: products with whole groups need no row of its own for each token.
+
+        Adds the table's gradient to moves, returns the one of ahead.
+        """
+        edge, table, offset, n = self.vocab.levels[name][0], self.model.p[name], self.offset[name], len(group)
+        (begin, last), width = _runs(group), int(edge[1])
+        outcomes = self._outcomes(name, group, member, begin, last)
+        runs = [(slice(s, e + 1), slice(edge[group[s]], edge[group[s] + 1])) for s, e in zip(begin, last)]
+        score, weight = np.empty((n, width), np.float32), np.zeros((n, width), np.float32)
+        for own, here in runs:
+            np.matmul(ahead[own], table[here].T, out=score[own])
+        first = np.arange(n) * width - edge[group]
+        for k, at in enumerate(outcomes):
+            cell = first + at
+            weight.reshape(-1)[cell] += (k == 0) - _logistic(score.reshape(-1).take(cell) - offset[at])
+        back, total = np.empty_like(ahead), np.zeros_like(table)
+        for own, here in runs:
+            np.matmul(weight[own], table[here], out=back[own])
+            np.matmul(weight[own].T, ahead[own], out=total[here])
+        moves.append((name, slice(None), total.T, np.bincount(outcomes[0], minlength=len(table)) + np.bincount(outcomes[1], minlength=len(table))))
         return back
 
+    def _contrast(self, name, ahead, group, member, moves) -> np.ndarray:
+        """The same for groups of any size, by the rows drawn; ahead and the result have a column for each token."""
+        table, offset = self.model.p[name], self.offset[name]
+        begin, last = _runs(group)
+        member, *fakes = self._outcomes(name, group, member, begin, last)
+        rows = lambda at: np.ascontiguousarray(table.take(at, axis=0).T)
+        good, bad, met = rows(member), rows(fakes[0]), []
+        pull = 1 - _logistic(np.einsum("dn,dn->n", ahead, good) - offset[member])
+        back = pull * good
+        for fake in fakes:
+            push = -_logistic(np.einsum("dn,dn->n", ahead, bad) - offset[fake])
+            back += push * bad
+            met.append(push * ahead)
+            bad = _turned(bad, begin, last) if len(met) < NOISE else None
+        grad = met.pop()
+        while met:
+            grad = met.pop() + _turned(grad, last, begin, -1)  # back to the token that drew
+        own, (m, f) = self._distinct(member, fakes[0])
+        total = _sum_columns(pull * ahead, m, len(own)) + _sum_columns(grad, f, len(own))
+        moves.append((name, own, total, np.bincount(m, minlength=len(own)) + np.bincount(f, minlength=len(own))))
+        return back
+
+
+def _runs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of every run."""
+    begin = np.flatnonzero(np.diff(group, prepend=-1))
+    return begin, np.append(begin[1:], len(group)) - 1
+
+
+def _turned(columns: np.ndarray, first: np.ndarray, last: np.ndarray, step: int = 1) -> np.ndarray:
+    """Every column replaced by the one after it (step -1: before it), in a circle inside its run."""
+    out = np.empty_like(columns)
+    if step > 0:
+        out[..., :-1] = columns[..., 1:]
+    else:
+        out[..., 1:] = columns[..., :-1]
+    out[..., last] = columns[..., first]
+    return out
+
+
+def _sum_columns(columns: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the columns with equal at, which is below n."""
+    out = np.empty((len(columns), n), np.float32)
+    for own, values in zip(out, columns):
+        own[:] = np.bincount(at, values, n)
+    return out
+
 
 def _go_through(vocab, model):
     """Changes of each table by block in half precision, with how often a row was used."""
