@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ngrams as grams_of
-from tessera.functions.text import with_terms
+from tessera.functions.text import tokens
 from tessera.session import settled
 
 COMMON = 200_000  # words that are sent along to leave out n-grams that cannot be chosen
@@ -25,8 +25,8 @@ def word_tokens(c: Column) -> Column:
 
 def _words(docs: DataFrame, text: str, stop: list[str], form: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs' columns `keep` with __words, the tokens that are no stop words."""
-    if form == "share":
-        return with_terms(docs, text, "__words_", stop, 1, 1).select(*keep, F.col("__words_").alias("__words"))
+    if form in ("share", "plain"):
+        return docs.select(*keep, tokens(F.col(text), stop, form == "plain").alias("__words"))
     kept = F.filter(word_tokens(F.col(text)), lambda t: ~t.isin(stop)) if stop else word_tokens(F.col(text))
     return docs.select(*keep, kept.alias("__words"))
 

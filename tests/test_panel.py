@@ -209,3 +209,29 @@ def test_registered_baselines_have_no_caps(monkeypatch, query, trees):
     monkeypatch.setattr(ml, "run_baselines", spy)
     catalogue.QUERIES[query](None, "")
     assert seen["max_train_rows"] is None and seen["trees"] == trees
+
+
+ODD = ["", None, " ", "\n  ", "x\x0by the", "a the of", "Buy (NASDAQ: msft) now", "All Rightſ Reſerved. x", "For more details clicK here. x", "for moreReporting by X. details click here now. y", "a $aapl $9 $ $$x$abcdefghijklmn$é", "İb ΟΣ. the", "...the... (of) \"and\" 'to' the!! ,.x,. a.b a,,b ,,", "\x1cTHE\x1dof\x1f", "  a \r\n\n b  "]
+
+
+def against_sql(spark, folder, query, tables):
+    """Rows of the query and of its SQL."""
+    import duckdb
+
+    from tessera.plans import catalogue
+
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
+    want = con.execute(catalogue.ORACLES[query])
+    got = [tuple(r) for r in catalogue.QUERIES[query](spark, str(folder)).select([c[0] for c in want.description]).collect()]
+    return sorted(got, key=repr), sorted(want.fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("query", ["clean_text", "text_metrics", "lexicon_sentiment", "daily_sentiment", "tfidf_vocab", "tfidf_top_terms"])
+def test_text_queries_equal_their_sql_on_odd_texts(spark, tmp_path, query):
+    import pandas as pd
+
+    pd.DataFrame({"doc_id": range(len(ODD)), "text": ODD, "source": "web"}).to_parquet(tmp_path / "documents.parquet")
+    got, want = against_sql(spark, tmp_path, query, ["documents"])
+    assert got == want
