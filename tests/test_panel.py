@@ -237,6 +237,16 @@ def test_text_queries_equal_their_sql_on_odd_texts(spark, tmp_path, query):
     assert got == want
 
 
+def test_feature_matrix_equals_its_sql_on_odd_texts(spark, tmp_path):
+    import pandas as pd
+
+    pd.DataFrame({"doc_id": range(100 * len(ODD)), "text": [t for t in ODD for _ in range(100)], "source": "web"}).to_parquet(tmp_path / "documents.parquet")
+    for t in ("lineitem", "orders"):  # tables of the driver
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    got, want = against_sql(spark, tmp_path, "feature_matrix", ["documents", "lineitem", "orders"])
+    assert got == want
+
+
 def test_rounding_is_that_of_sql(spark):
     import duckdb
 
