@@ -255,3 +255,16 @@ def test_rounding_is_that_of_sql(spark):
     pairs = [(9882, 1600), (4673, 800), (5173, 800), (1, 32), (-1, 32), (1013, 160)]
     got = [r[0] for r in spark.createDataFrame(pairs, "a long, b long").select(_round(F.col("a").cast("double") / F.col("b"), 4)).collect()]
     assert got == [duckdb.execute("select round(?::double / ?, 4)", p).fetchone()[0] for p in pairs]
+
+
+def test_unit_root_lags_come_from_one_factorisation(monkeypatch):
+    import numpy as np
+
+    from tessera.operators import ml
+
+    x, calls, solve = np.cumsum(np.random.default_rng(1).normal(size=400)), [], np.linalg.lstsq
+    monkeypatch.setattr(np.linalg, "lstsq", lambda *a, **k: calls.append(1) or solve(*a, **k))
+    p = ml.adf_p_value(x)
+    assert len(calls) == 1
+    monkeypatch.setattr(np.linalg, "qr", lambda a: (np.zeros_like(a), np.zeros((a.shape[1], a.shape[1]))))  # each regression by itself
+    assert ml.adf_p_value(x) == p and len(calls) > 15
