@@ -268,3 +268,15 @@ def test_unit_root_lags_come_from_one_factorisation(monkeypatch):
     assert len(calls) == 1
     monkeypatch.setattr(np.linalg, "qr", lambda a: (np.zeros_like(a), np.zeros((a.shape[1], a.shape[1]))))  # each regression by itself
     assert ml.adf_p_value(x) == p and len(calls) > 15
+
+
+@pytest.mark.parametrize("kept", [0, 3, 10_000])
+def test_exact_medians_are_those_of_spark(spark, monkeypatch, kept):
+    from tessera.operators import ml
+
+    monkeypatch.setattr(ml, "KEPT", kept)
+    rows = [((i * 7919) % 1001 / 7, float(i % 2), None if i % 3 else float(i), 0.0 if i < 502 else i * 1.5, None, i) for i in range(1003)]
+    df = spark.createDataFrame(rows, "a double, tie double, gaps double, half double, none double, n long")
+    want = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in df.columns]).first().asDict()
+    assert ml.exact_medians(df, df.columns) == want
+    assert ml.exact_medians(df.limit(1), ["a", "none"]) == {"a": 0.0, "none": None}
