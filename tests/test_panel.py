@@ -280,3 +280,15 @@ def test_exact_medians_are_those_of_spark(spark, monkeypatch, kept):
     want = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in df.columns]).first().asDict()
     assert ml.exact_medians(df, df.columns) == want
     assert ml.exact_medians(df.limit(1), ["a", "none"]) == {"a": 0.0, "none": None}
+
+
+@pytest.mark.parametrize("keys", [range(6), [0, 0, 1, 2, 2, 3]])
+def test_top_terms_by_document_equal_those_of_the_weights(spark, monkeypatch, keys):
+    texts = ["a b c", "a b", "b b d a b", "", "d d x a", "c a b"]
+    docs = spark.createDataFrame(list(zip(keys, texts)), "k int, t string")
+    vocabulary = tfidf.fit(docs, "t", 5)
+    got = tfidf.top_terms(docs, "t", "k", vocabulary)
+    assert (tfidf._few_sums(docs, "t", "k", vocabulary) is None) == (len(set(keys)) < 6)
+    monkeypatch.setattr(tfidf, "SMALL", 0)
+    want = tfidf.top_terms(docs, "t", "k", tfidf.fit(docs, "t", 5))
+    assert [(r[0], round(r[1], 12)) for r in got.collect()] == [(r[0], round(r[1], 12)) for r in want.collect()]
