@@ -292,3 +292,11 @@ def test_top_terms_by_document_equal_those_of_the_weights(spark, monkeypatch, ke
     monkeypatch.setattr(tfidf, "SMALL", 0)
     want = tfidf.top_terms(docs, "t", "k", tfidf.fit(docs, "t", 5))
     assert [(r[0], round(r[1], 12)) for r in got.collect()] == [(r[0], round(r[1], 12)) for r in want.collect()]
+
+
+def test_words_are_counted_once_for_all_scores(spark):
+    from tessera.operators import sentiment
+
+    docs = spark.createDataFrame([("the of",), ("and",)], "cleaned_text string").repartition(1)
+    out = A.daily_sentiment(sentiment.score_lexicon(docs, positive="the of", negative="and to").selectExpr("*", "'a' as ticker", "current_date() as date", "1 as char_count", "1 as word_count", "1.0 as avg_word_length"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("tanh(") == 1
